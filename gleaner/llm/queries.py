@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import host_rules
 from .host_rules import quality_documents
+from .jaccard import join_documents
 from .mixing import mix_documents
 from .sharding import shard_documents
 from .store import table
@@ -12,6 +13,7 @@ from .url_filter import filter_pages
 QUERIES = {
     "op1_url_filter": lambda spark, d: filter_pages(table(spark, d, "pages")),
     "op2_sharding": lambda spark, d: shard_documents(table(spark, d, "documents")),
+    "op5_jaccard_join": lambda spark, d: join_documents(table(spark, d, "documents")),
     "op7_host_rules": lambda spark, d: quality_documents(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
 }
