@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from . import decontaminate, host_rules
+from .decontaminate import check_documents
 from .host_rules import quality_documents
 from .jaccard import join_documents
 from .mixing import mix_documents
@@ -13,9 +14,10 @@ from .url_filter import filter_pages
 QUERIES = {
     "op1_url_filter": lambda spark, d: filter_pages(table(spark, d, "pages")),
     "op2_sharding": lambda spark, d: shard_documents(table(spark, d, "documents")),
+    "op3_decontamination": lambda spark, d: check_documents(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_jaccard_join": lambda spark, d: join_documents(table(spark, d, "documents")),
     "op7_host_rules": lambda spark, d: quality_documents(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op7_host_rules": host_rules.ORACLE}
+ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op7_host_rules": host_rules.ORACLE}
