@@ -6,17 +6,21 @@ from . import decontaminate, host_rules
 from .decontaminate import check_documents
 from .host_rules import quality_documents
 from .jaccard import join_documents
+from .langid import identify_documents
 from .mixing import mix_documents
 from .sharding import shard_documents
 from .store import table
+from .toxicity import toxicity_documents
 from .url_filter import filter_pages
 
 QUERIES = {
     "op1_url_filter": lambda spark, d: filter_pages(table(spark, d, "pages")),
     "op2_sharding": lambda spark, d: shard_documents(table(spark, d, "documents")),
     "op3_decontamination": lambda spark, d: check_documents(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op4_langid": lambda spark, d: identify_documents(table(spark, d, "documents")),
     "op5_jaccard_join": lambda spark, d: join_documents(table(spark, d, "documents")),
     "op7_host_rules": lambda spark, d: quality_documents(table(spark, d, "documents")),
+    "op8_toxicity": lambda spark, d: toxicity_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
 }
 
