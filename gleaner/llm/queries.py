@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules
+from . import decontaminate, host_rules, prefix_free, suffix_tree
 from .decontaminate import check_documents
 from .host_rules import quality_documents
 from .jaccard import join_documents
@@ -19,9 +19,11 @@ QUERIES = {
     "op3_decontamination": lambda spark, d: check_documents(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_langid": lambda spark, d: identify_documents(table(spark, d, "documents")),
     "op5_jaccard_join": lambda spark, d: join_documents(table(spark, d, "documents")),
+    "op6_suffix_tree": lambda spark, d: suffix_tree.dedup_documents(table(spark, d, "documents")),
     "op7_host_rules": lambda spark, d: quality_documents(table(spark, d, "documents")),
     "op8_toxicity": lambda spark, d: toxicity_documents(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op9_prefix_free": lambda spark, d: prefix_free.dedup_documents(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op7_host_rules": host_rules.ORACLE}
+ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op6_suffix_tree": suffix_tree.ORACLE, "op7_host_rules": host_rules.ORACLE}
