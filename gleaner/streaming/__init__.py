@@ -1 +1 @@
-
+"""Streams of captured pages and marks."""
