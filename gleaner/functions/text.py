@@ -24,6 +24,11 @@ BADGE_PASSES = 4
 LEAST_REPEAT = 4
 
 
+def once(c: Column, body) -> Column:
+    """body(c) with c worked out once a row, however often body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def present(c: Column) -> Column:
     """c, or null where it is empty."""
     return F.nullif(c, F.lit(""))
@@ -57,13 +62,16 @@ def collapsed(c: Column) -> Column:
     """Text whose first half at most is at once repeated, with one character between or none: that half, the
     longest such of four characters or more. What follows the repeat is dropped."""
 
-    def again(h: Column) -> Column:
-        head = F.left(c, h)
-        return ((2 * h + 1 <= F.length(c)) & (head == F.substring(c, h + 2, h))) | (head == F.substring(c, h + 1, h))
+    def longest(x: Column) -> Column:
+        def again(h: Column) -> Column:
+            head = F.left(x, h)
+            return ((2 * h + 1 <= F.length(x)) & (head == F.substring(x, h + 2, h))) | (head == F.substring(x, h + 1, h))
+
+        halves = F.sequence((F.length(x) / 2).cast("int"), F.lit(LEAST_REPEAT), F.lit(-1))
+        found = F.try_element_at(F.filter(halves, again), F.lit(1))
+        return F.coalesce(F.when(F.length(x) >= 2 * LEAST_REPEAT, F.trim(F.left(x, found))), x)
 
-    halves = F.sequence((F.length(c) / 2).cast("int"), F.lit(LEAST_REPEAT), F.lit(-1))
-    longest = F.try_element_at(F.filter(halves, again), F.lit(1))
-    return F.coalesce(F.when(F.length(c) >= 2 * LEAST_REPEAT, F.trim(F.left(c, longest))), c)
+    return once(c, longest)
 
 
 def title_text(c: Column) -> Column:
@@ -138,11 +146,14 @@ def built_text(date: Column, rank: Column) -> Column:
 def progress(text: Column) -> Column:
     """(percent, moving): the last fraction a/b with b > 0 gives the percentage, 100 at most; other text moves
     without a percentage; empty text leaves both null."""
-    last = F.try_element_at(F.regexp_extract_all(text, F.lit("\\d+\\s*/\\s*\\d+"), F.lit(0)), F.lit(-1))
-    a = F.regexp_extract(last, "^(\\d+)", 1).try_cast("double")
-    b = F.regexp_extract(last, "(\\d+)$", 1).try_cast("double")
-    percent = F.when(b > 0, F.least(F.lit(100.0), a / F.nullif(b, F.lit(0.0)) * 100))
-    return F.struct(percent.alias("percent"), F.when(percent.isNotNull(), F.lit(False)).when(F.coalesce(text, F.lit("")) != "", F.lit(True)).alias("moving"))
+
+    def of(last: Column) -> Column:
+        a = F.regexp_extract(last, "^(\\d+)", 1).try_cast("double")
+        b = F.regexp_extract(last, "(\\d+)$", 1).try_cast("double")
+        percent = F.when(b > 0, F.least(F.lit(100.0), a / F.nullif(b, F.lit(0.0)) * 100))
+        return F.struct(percent.alias("percent"), F.when(percent.isNotNull(), F.lit(False)).when(F.coalesce(text, F.lit("")) != "", F.lit(True)).alias("moving"))
+
+    return once(F.try_element_at(F.regexp_extract_all(text, F.lit("\\d+\\s*/\\s*\\d+"), F.lit(0)), F.lit(-1)), of)
 
 
 def minute_stamp(at: Column) -> Column:
