@@ -22,7 +22,7 @@ from gleaner.operators.collect import detail_text
 
 # Elements without an end tag, elements that end a line, elements whose text is none.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote br dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+BLOCK = frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 SILENT = frozenset("script style noscript svg template head".split())
 
 
@@ -106,6 +106,8 @@ class Node:
             n = stack.pop()
             if isinstance(n, str):
                 out.append(n)
+            elif n.tag == "br":
+                out.append("\n")
             elif n.tag not in SILENT:
                 if n.tag in BLOCK:
                     out.append("\n")
@@ -149,12 +151,13 @@ def parse(html: str) -> Node:
     return t.root
 
 
+_COMPOUND = re.compile(r"(?:\[[^\]]*\]|[^\s\[])+")
 _PART = re.compile(r"([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:(\*?=)'([^']*)')?\]")
 
 
 def _compile(selector: str):
     """A selector of compounds (tag, .class, #id, [name], [name='x'], [name*='x']) with blanks for descent."""
-    return [[m.groups() for m in _PART.finditer(compound)] for compound in selector.split()]
+    return [[m.groups() for m in _PART.finditer(compound)] for compound in _COMPOUND.findall(selector)]
 
 
 def _fits(n: Node, compound) -> bool:
