@@ -36,7 +36,7 @@ def sainte_lague(weights: Sequence[float], seats: int) -> np.ndarray:
             high = mid
         else:
             low = mid
-    q = np.floor(w * low + 0.5).astype(np.int64)
+    q = np.floor(w * (low * (1 - 1e-12)) + 0.5).astype(np.int64)  # a hair below, so that ties are settled here
     for _ in range(int(seats - q.sum())):
         q[np.argmax(w / (2 * q + 1))] += 1
     return q
