@@ -17,15 +17,17 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import packedsteps
 from .components import components
 from .store import materialize
-from .units import LOWER, NOT_BLANK, U, Hasher, by_bucket, flat, joined, mix, packed, ranges, slices, words
+from .textsql import word_count
+from .units import LOWER, NOT_BLANK, U, Hasher, by_bucket, flat, mix, ranges, slices, words
 
-#: Signature groups beyond this many sets are split by a second family of signatures.
-LARGE = 256
+#: Members of a star that are tried in one run.
+STAR = 2000
 FLUSH = 1 << 20
 
 
@@ -48,32 +50,30 @@ class Bands:
         return (100 - self.percent) * total // (100 + self.percent)
 
     def instance(self, i: int) -> tuple[int, int]:
-        """Of band i with itself (2i) or with the next (2i + 1): differences, least size."""
-        low, high = self.bands[i // 2]
-        other = high if i % 2 == 0 else min(high * 100 // self.percent, (high + 1) * 100 // self.percent)
-        return self.most(high + other), low
+        """Of bands i - 1 and i: differences that two sets may have, least size."""
+        return self.most(2 * self.bands[i][1]), self.bands[max(0, i - 1)][0]
 
 
 def layout(k: int, least: int) -> tuple[int, int, int, int]:
     """(n1, n2, k2, spare): parts, pieces, differences borne within a part, and
-    parts beyond those that the differences can spoil, less one."""
-    if k == 0:
-        return 1, 1, 0, 0
+    parts beyond those that the differences can spoil, less one.
+
+    Of the layouts whose signatures cover five elements or more, one with the most
+    spare parts, then the fewest signatures; else the one whose signatures cover the most.
+    """
     found = []
-    for k2 in range(0, 3):
-        for n2 in range(max(1, k2 + 1), k2 + 4):
-            if k2 == 0 and n2 > 1:
-                continue
-            for spare in (3, 2, 1, 0):
+    for k2 in (1, 2):
+        for n2 in range(k2 + 1, k2 + 4):
+            for spare in (2, 1, 0):
                 n1 = k // (k2 + 1) + 1 + spare
                 each = least / n1 * (n2 - k2) / n2
-                found.append((each < 5, n1 * comb(n2, k2) if each >= 5 else -each, -spare, n1, n2, k2, spare))
+                found.append((each < 5, -spare if each >= 5 else 0, n1 * comb(n2, k2) if each >= 5 else -each, n1, n2, k2, spare))
     *_, n1, n2, k2, spare = min(found)
     return n1, n2, k2, spare
 
 
-def signatures(elements: np.ndarray, sizes: np.ndarray, bands: Bands, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, signature) of all sets. elements: the sets' distinct hashes, one set after the other.
+def signatures(elements: np.ndarray, sizes: np.ndarray, bands: Bands, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set index, signature) of all sets; and for each set how many signatures it shares at least with any that it is linked to. elements: the sets' distinct hashes, one set after the other.
 
     A signature over pieces that hold no element is dropped where the set has
     no more such parts than are spare: linked sets agree on one more part than that.
@@ -81,11 +81,13 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, bands: Bands, seed: int
     sizes = np.asarray(sizes, dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
     band = bands.of(sizes)
+    need = np.full(len(sizes), 1 << 20)
     who: list[np.ndarray] = []
     sigs: list[np.ndarray] = []
-    for side in (0, 1, -1):  # with its own band; with the next; with the one before
-        inst = 2 * band + side
-        for i in np.unique(inst[inst >= 0]):
+    bands.of(np.array([bands.bands[-1][1] + 1]))
+    for side in (0, 1):  # with its own band and the one before; with the next
+        inst = band + side
+        for i in np.unique(inst):
             mine = np.flatnonzero((inst == i) & (sizes > 0))
             if not len(mine):
                 continue
@@ -106,14 +108,16 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, bands: Bands, seed: int
             full = np.stack([count[:, :, c].sum(axis=2) > 0 for c in map(list, chosen)], axis=2)
             weak = (~full).any(axis=2).sum(axis=1)
             keep = full | (weak > spare)[:, None, None]
+            # Linked sets agree in 1 + spare parts; what they agree on may hold nothing only in parts weak in both.
+            need[mine] = np.minimum(need[mine], np.maximum(1, 1 + spare - weak))
             tag = np.arange(n1 * len(chosen), dtype=U).reshape(n1, len(chosen)) + U(int(i) << 32) + U(seed << 60)
             out = mix(sums + mix(tag)[None, :, :])
             rows = np.broadcast_to(mine[:, None, None], out.shape)
             who.append(rows[keep])
             sigs.append(out[keep])
     if not who:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
-    return np.concatenate(who), np.concatenate(sigs)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U), need
+    return np.concatenate(who), np.concatenate(sigs), need
 
 
 class Sets:
@@ -152,129 +156,415 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _pack(sig: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Pairs dealt by signature. A blob holds the number of its sets, their 64-bit
+    ids, and for each pair 40 bits of the signature and the set's number."""
+    k = (sig >> U(11)) % U(buckets)
+    order = np.argsort(k, kind="stable")
+    k, sig, ids = k[order], sig[order], ids[order]
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
+    for a, b in zip(at, [*at[1:], len(k)]):
+        names, which = np.unique(ids[a:b], return_inverse=True)
+        wide = 2 if len(names) <= 1 << 16 else 4
+        rows = np.empty((b - a, 5 + wide), dtype=np.uint8)
+        rows[:, :5] = sig[a:b].copy().view(np.uint8).reshape(-1, 8)[:, :5]
+        rows[:, 5:] = which.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :wide]
+        yield int(k[a]), np.array([len(names), wide], dtype=U).tobytes() + names.tobytes() + rows.tobytes()
+
+
+def _unpack(blobs: list[bytes]) -> np.ndarray:
+    out = []
+    for blob in blobs:
+        n, wide = np.frombuffer(blob, dtype=U, count=2).tolist()
+        names = np.frombuffer(blob, dtype=U, count=n, offset=16)
+        rows = np.frombuffer(blob, dtype=np.uint8, offset=16 + 8 * n).reshape(-1, 5 + wide)
+        sig, which = np.zeros((len(rows), 8), dtype=np.uint8), np.zeros((len(rows), 8), dtype=np.uint8)
+        sig[:, :5], which[:, :wide] = rows[:, :5], rows[:, 5:]
+        out.append(np.stack([sig.view(U).ravel(), names[which.view(np.int64).ravel()]], axis=1))
+    return np.concatenate(out)
+
+
+_MEMBER = [("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("need", pa.int64())]
+_SCANNED = pa.schema([*_MEMBER, ("bucket", pa.int64()), ("blob", pa.binary())])
+_FOUND = pa.schema([*_MEMBER, ("bucket", pa.int64()), ("blob", pa.binary())])
+_MEMBER_SQL = "doc_id long, row long, n long, h1 long, h2 long, need long"
+
+
+def _filled(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
+    """A batch with the other columns null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
 def _scan(gram: int, percent: int, buckets: int):
-    """(kind 0: doc_id, row, n, h1, h2) for each row; (kind 1: bucket, blob) of signature and set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
+    """A row for each text, and rows of packed signatures and sets for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets_of, bands = Sets(gram), Bands(percent)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[tuple[int, int]] = set()
         n_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                got = list(packed(np.concatenate(held), buckets))
-                null = pa.nulls(len(got), pa.int64())
-                yield pa.RecordBatch.from_arrays([null, null, null, null, null, pa.array([k for k, _ in got], pa.int64()), pa.array([v for _, v in got], pa.binary())], schema=schema)
-                held.clear()
+            got = list(_pack(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), buckets))
+            held.clear()
+            yield _filled(_SCANNED, len(got), bucket=[k for k, _ in got], blob=[v for _, v in got])
 
         for piece in slices(batches):
             sets = sets_of(piece.column("text"))
             ids = [identity(s) for s in sets]
             h = np.array(ids, dtype=U).reshape(-1, 2)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            null = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("row"), pa.array(n), pa.array(_signed(h[:, 0].copy())), pa.array(_signed(h[:, 1].copy())), null, pa.nulls(len(sets), pa.binary())], schema=schema
-            )
+            h1 = _signed(h[:, 0].copy())
             new = []
             for i, x in enumerate(ids):
-                if n[i] and x not in seen:  # copies within the piece emit once
+                if n[i] and x not in seen:  # copies that a task meets emit once
                     seen.add(x)
                     new.append(i)
             if len(seen) > 100_000:
                 seen.clear()
+            need: list[int | None] = [None] * len(sets)
             if new:
-                who, sig = signatures(np.concatenate([sets[i] for i in new]), n[new], bands)
-                held.append(np.stack([sig, h[new, 0][who]], axis=1))
+                who, sig, least = signatures(np.concatenate([sets[i] for i in new]), n[new], bands)
+                for i, x in zip(new, least.tolist()):
+                    need[i] = x
+                held.append((sig, h[new, 0][who]))
                 n_held += len(sig)
+            yield _filled(_SCANNED, len(sets), doc_id=piece.column("doc_id"), row=piece.column("row"), n=n, h1=h1, h2=_signed(h[:, 1].copy()), need=need, bucket=(h1 >> 17) % buckets)
+            if n_held > FLUSH:
+                yield from flush()
+                n_held = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _shared_of(blobs: list[bytes]) -> np.ndarray:
+    """(signature, set) of the signatures in a bucket that two sets or more share."""
+    rows = _unpack(blobs)
+    order = np.argsort(rows[:, 0])
+    s = rows[order, 0]
+    same = np.zeros(len(s) + 1, dtype=bool)
+    same[1:-1] = s[1:] == s[:-1]
+    rows = rows[order[same[1:] | same[:-1]]]
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1].view(np.int64), rows[:, 0]))]
+    rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+    head = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    n = np.diff(np.r_[head, len(rows)])
+    return rows[np.repeat(n > 1, n)]
+
+
+def _shared(buckets: int):
+    """The texts' rows, and packed (set, signature) of signatures that two sets or more share. Batches come sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                blob = batch.column("blob")
+                rows = batch.filter(blob.is_null())
+                if rows.num_rows:
+                    done.append(_filled(_FOUND, rows.num_rows, **{c: rows.column(c) for c, _ in _MEMBER}))
+                yield batch.filter(blob.is_valid())
+
+        done: list[pa.RecordBatch] = []
+        for _, blobs in by_bucket(pieces()):
+            yield from done
+            done.clear()
+            rows = _shared_of(blobs)
+            if len(rows):
+                out = packedsteps.dealt(LISTS, rows[:, ::-1], rows[:, 1], buckets)
+                yield _filled(_FOUND, out.num_rows, bucket=out.column("bucket"), blob=out.column("blob"))
+        yield from done
+
+    return run
+
+
+#: Kinds of packed rows: (set, signature); (set, root, need); (signature, set, weight); (set, hub); (signature, set, root, need);
+#: (two sets, signatures that they must share, signatures shared). And rows that are not packed: two sets that are to meet; a whole set.
+LISTS, ROOTS, WEIGHTS, HUBS, ROOTED, PAIRS, MEET, SETS = range(1, 9)
+#: Sets that one task holds against each other; a larger family is split into blocks, and each two blocks meet.
+BLOCK = 1024
+
+
+def _weigh(buckets: int):
+    def work(b) -> Iterator[pa.RecordBatch]:
+        rows = b.rows(LISTS, 2)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        _, n = packedsteps.groups(rows[:, 0])
+        yield packedsteps.dealt(WEIGHTS, np.stack([rows[:, 1], rows[:, 0], np.repeat(n, n).astype(U)], axis=1), rows[:, 1], buckets)
+
+    return work
+
+
+def _hubs(buckets: int):
+    """For each member of a group its hub: the set that shares the most signatures."""
+
+    def work(b) -> Iterator[pa.RecordBatch]:
+        rows = b.rows(WEIGHTS, 3)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+        at, n = packedsteps.groups(rows[:, 0])
+        hub = np.repeat(rows[at + n - 1, 1], n)
+        rest = rows[:, 1] != hub
+        yield packedsteps.dealt(HUBS, np.stack([rows[rest, 1], hub[rest]], axis=1), rows[rest, 1], buckets)
+
+    return work
+
+
+def _best(b) -> Iterator[pa.RecordBatch]:
+    """x: the hub that a set (y) shares the most groups with."""
+    rows, n = np.unique(b.rows(HUBS, 2), axis=0, return_counts=True)
+    order = np.lexsort((rows[:, 1], n, rows[:, 0]))
+    rows = rows[order]
+    at, size = packedsteps.groups(rows[:, 0])
+    best = rows[at + size - 1]
+    yield packedsteps.batch(packedsteps.PLAIN, len(best), x=_signed(best[:, 1].copy()), y=_signed(best[:, 0].copy()))
+
+
+def _attached(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its row's number in table (by first column, sorted), and whether there is one."""
+    if not len(table):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    i = np.minimum(np.searchsorted(table[:, 0], keys), len(table) - 1)
+    return i, table[i, 0] == keys
+
+
+def _root(buckets: int):
+    def work(b) -> Iterator[pa.RecordBatch]:
+        rows, roots = b.rows(LISTS, 2), b.rows(ROOTS, 3)
+        roots = roots[np.argsort(roots[:, 0], kind="stable")]
+        i, known = _attached(rows[:, 0], roots)
+        rows, i = rows[known], i[known]
+        if len(rows):
+            yield packedsteps.dealt(ROOTED, np.stack([rows[:, 1], rows[:, 0], roots[i, 1], roots[i, 2]], axis=1), rows[:, 1], buckets)
+
+    return work
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """Rows (a, b, need, shared) with those of equal pairs added up."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.zeros(0, dtype=np.int64)
+    out = rows[at]
+    if len(at):
+        out[:, 3] = np.add.reduceat(rows[:, 3], at)
+    return out
+
+
+def _across(buckets: int):
+    """Pairs of one group and different roots. In groups of one root, which are nearly all, no pair is made."""
+
+    def work(b) -> Iterator[pa.RecordBatch]:
+        rows = b.rows(ROOTED, 4)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        at, n = packedsteps.groups(rows[:, 0])
+        several = rows[at, 2] != rows[at + n - 1, 2] if len(rows) else np.zeros(0, dtype=bool)
+        at, n = at[several], n[several]
+        held, n_held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            out = _counted(np.concatenate(held))
+            held.clear()
+            return packedsteps.dealt(PAIRS, out, mix(out[:, 0]) ^ out[:, 1], buckets)
+
+        for size in np.unique(n):
+            i, j = np.triu_indices(size, 1)
+            some = at[n == size]
+            for part in np.array_split(some, max(1, len(some) * len(i) // FLUSH)):
+                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+                apart = rows[x, 2] != rows[y, 2]
+                x, y = rows[x[apart]], rows[y[apart]]
+                low, high = np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1])
+                held.append(_counted(np.stack([low, high, np.maximum(x[:, 3], y[:, 3]), np.ones(len(x), dtype=U)], axis=1)))
+                n_held += len(held[-1])
                 if n_held > FLUSH:
-                    yield from flush()
+                    yield flush()
                     n_held = 0
-        yield from flush()
+        if n_held:
+            yield flush()
+
+    return work
+
+
+def _enough(b) -> Iterator[pa.RecordBatch]:
+    """Pairs that share as many signatures as linked sets do at least."""
+    rows = _counted(b.rows(PAIRS, 4))
+    rows = rows[rows[:, 3] >= rows[:, 2]]
+    yield packedsteps.batch(packedsteps.PLAIN, len(rows), x=_signed(rows[:, 0].copy()), y=_signed(rows[:, 1].copy()))
+
+
+def _block(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (mix(ids + U(3)) % blocks.astype(U)).astype(np.int64)
+
+
+def _meeting(family: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Where blocks i and j of a family meet."""
+    low, high = np.minimum(i, j).astype(U), np.maximum(i, j).astype(U)
+    return mix(family ^ mix(low * U(1_000_003) + high))
+
+
+def _call(buckets: int):
+    """Pairs at the meeting of their sets' blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y, family = (b.column(c).to_numpy().view(U) for c in ("a", "b", "family"))
+                blocks = b.column("blocks").to_numpy()
+                meeting = _meeting(family, _block(x, blocks), _block(y, blocks))
+                yield packedsteps.batch(MEET, len(x), bucket=packedsteps.bucket_of(meeting, buckets), x=_signed(x), y=_signed(y), z=_signed(meeting))
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, centre, id) of signatures that two sets or more share."""
-    for _, blobs in by_bucket(batches):
-        rows = joined(blobs, 2)
-        order = np.argsort(rows[:, 0])
-        s = rows[order, 0]
-        same = np.zeros(len(s) + 1, dtype=bool)
-        same[1:-1] = s[1:] == s[:-1]
-        order = order[same[1:] | same[:-1]]
-        rows = rows[order]
-        if not len(rows):
-            continue
-        rows = rows[np.lexsort((rows[:, 1].view(np.int64), rows[:, 0]))]
-        new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]
-        rows = rows[new]
-        head = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-        n = np.diff(np.r_[head, len(rows)])
-        centre = np.repeat(rows[head, 1], n)
-        keep = np.repeat(n > 1, n)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(x[keep].copy())) for x in (rows[:, 0], centre, rows[:, 1])], names=["sig", "centre", "id"])
-
-
-def _sets(gram: int):
+def _settle(percent: int):
+    """Of the pairs that meet in a bucket those that may be linked."""
+
+    def work(b) -> Iterator[pa.RecordBatch]:
+        sets = {(z, x): _expand(blob) for x, _, z, blob in b.get(SETS, ())}
+        found = [(x, y) for x, y, z, _ in b.get(MEET, ()) if may_link(sets[z, x], sets[z, y], percent)]
+        yield packedsteps.batch(packedsteps.PLAIN, len(found), x=[x for x, _ in found], y=[y for _, y in found])
+
+    return work
+
+
+def _place_sets(buckets: int):
+    """Compact sets at each meeting of their block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets_of = Sets(gram)
-        for piece in slices(batches):
-            got = sets_of(piece.column("text"))
-            ids = np.array([identity(s)[0] for s in got], dtype=U)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(ids)), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "elements"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, family = (b.column(c).to_numpy().view(U) for c in ("id", "family"))
+            blocks = b.column("blocks").to_numpy()
+            at = np.repeat(np.arange(b.num_rows), blocks)
+            meeting = _meeting(family[at], _block(ids[at], blocks[at]), ranges(blocks))
+            yield packedsteps.batch(
+                SETS, len(at), bucket=packedsteps.bucket_of(meeting, buckets), x=_signed(ids[at]), z=_signed(meeting), blob=b.column("elements").take(pa.array(at))
+            )
 
     return run
 
 
-def _linked(percent: int):
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+_PAIR = ["a", "b", "ok"]
+
+
+def _width(n: int) -> int:
+    """Bytes of a hash that keep chance agreements of sets of n rare."""
+    return 2 if n <= 1 << 10 else 3 if n <= 1 << 14 else 4
+
+
+def compact(s: np.ndarray) -> bytes:
+    """The low bytes of a set's hashes, sorted, and the set's size."""
+    wide = _width(len(s))
+    low = np.sort(s & U((1 << 8 * wide) - 1))
+    return np.array([len(s), wide], dtype=np.int64).tobytes() + low.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def _expand(blob: bytes) -> tuple[int, int, bool, np.ndarray]:
+    """Size, width, whether some hashes have the same low bytes, and these, sorted."""
+    n, wide = np.frombuffer(blob, dtype=np.int64, count=2).tolist()
+    rows = np.zeros((n, 8), dtype=np.uint8)
+    rows[:, :wide] = np.frombuffer(blob, dtype=np.uint8, offset=16).reshape(-1, wide)
+    low = rows.view(U).ravel()
+    return n, wide, bool((low[1:] == low[:-1]).any()), low
+
+
+def may_link(x: tuple, y: tuple, percent: int) -> bool:
+    """False only if the sets are not linked. Equal hashes have equal low bytes, so at
+    least as many rows agree (counted with repeats) as the sets have in common."""
+    (n, wx, dx, a), (m, wy, dy, b) = x, y
+    if wx != wy:
+        mask = U((1 << 8 * min(wx, wy)) - 1)
+        a, b = np.sort(a & mask), np.sort(b & mask)
+        dx = dy = True
+    if dx or dy:
+        va, ca = np.unique(a, return_counts=True)
+        vb, cb = np.unique(b, return_counts=True)
+        _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+        common = int(np.minimum(ca[i], cb[j]).sum())
+    else:
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (n + m - common)
+
+
+def _stars(percent: int):
+    """Pairs that may be linked: each member against its centre, which comes before the members of its key and salt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, now = None, None
         for batch in batches:
-            a, b, ok = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist()):
-                x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            a, b = [], []
+            for key, salt, role, i, blob in zip(*[batch.column(c).to_pylist() for c in ("key", "salt", "role", "id", "elements")]):
+                if role == 0:
+                    centre, now = _expand(blob), (key, salt)
+                elif now == (key, salt) and may_link(centre, _expand(blob), percent):
+                    a.append(key)
+                    b.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _refine(percent: int, seed: int, buckets: int):
-    """For sets in large groups: blobs of (group and second signature, set)."""
-
+def _pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
-            sets = [np.frombuffer(x, dtype=U) for x in batch.column("elements").to_pylist()]
-            if not sets:
-                continue
-            who, sig = signatures(np.concatenate(sets), np.array([len(s) for s in sets]), bands, seed)
-            group = batch.column("sig").to_numpy().view(U)
-            ids = batch.column("id").to_numpy().view(U)
-            got = list(packed(np.stack([mix(sig + mix(group)[who]), ids[who]], axis=1), buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([v for _, v in got], pa.binary())], names=["bucket", "blob"])
+            ok = [_linked(np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U), percent) for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=_PAIR)
+
+    return run
+
+
+def _sets(gram: int, small: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets_of = Sets(gram)
+        for piece in slices(batches):
+            pack = compact if small else np.ndarray.tobytes
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([pack(s) for s in sets_of(piece.column("text"))], pa.binary())], names=["id", "elements"])
 
     return run
 
 
-def _group(blobs: DataFrame) -> DataFrame:
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "sig long, centre long, id long")
+class _Checker:
+    """Checks of pairs of sets, against tables of the sets' texts and of their compact forms."""
+
+    def __init__(self, texts: DataFrame, gram: int, percent: int):
+        self.texts, self.gram, self.percent = texts, gram, percent
+        self.small = materialize(texts.mapInArrow(_sets(gram, True), "id long, elements binary"), "compact")
 
+    def sets(self, of: DataFrame) -> DataFrame:
+        one = self.texts.join(of.select("id").distinct(), "id", "left_semi")
+        return one.mapInArrow(_sets(self.gram, False), "id long, elements binary")
 
-def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok) of pairs of set ids. A hot set's pairs are an ordinary skewed join."""
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
-    return with_b.select("a", "b", "ea", "eb").mapInArrow(_linked(percent), "a long, b long, ok boolean")
+    def stars(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked. The compact sets of b meet that of a, in
+        runs of at most STAR; what they let through is settled by the whole sets."""
+        salts = pairs.groupBy(F.col("a").alias("key")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+        members = pairs.select(F.col("b").alias("id"), F.col("a").alias("key")).join(salts, "key")
+        members = members.select("id", "key", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
+        centres = salts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+        placed = members.unionByName(centres).join(self.small, "id")
+        dealt = placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
+        return self.links(materialize(dealt.mapInArrow(_stars(self.percent), "a long, b long"), "likely"))
 
+    def links(self, likely: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those that are linked, by the whole sets."""
+        full = materialize(self.sets(likely.select(F.explode(F.array("a", "b")).alias("id"))), "sets")
+        with_a = likely.join(full.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
+        with_b = with_a.join(full.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
+        return materialize(with_b.select("a", "b", "ea", "eb").mapInArrow(_pairs(self.percent), "a long, b long, ok boolean").filter("ok").select("a", "b"), "linked")
 
-def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int = 80, gram: int = 5, large: int = LARGE) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+
+def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int = 80, gram: int = 5) -> DataFrame:
+    """doc_id, row (a hash of id and text), n_shingles, component (null without words) and component_id of every row.
 
     Sets of hashed n-grams of words (ASCII letters lowered) link where 100 *
     intersection >= percent * union; component_id is the least doc_id reachable
@@ -286,64 +576,67 @@ def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int
     while candidates are sought, by 128 bits when rows are put in classes.
     """
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, total >> 21)
-    scan = materialize(
-        rows.mapInArrow(_scan(gram, percent, buckets), "doc_id long, row long, n long, h1 long, h2 long, bucket long, blob binary").select(
-            "*", F.col("blob").isNull().alias("is_row")
-        ),
-        "scan",
-    )
-    members = scan.filter("is_row").select("doc_id", "row", "n", "h1", "h2")
-    shared = materialize(_group(scan.filter("NOT is_row").select("bucket", "blob")), "shared")
-    # The texts of one row for each set that shares a signature.
-    wanted = shared.select("id").distinct().join(members.filter("n > 0").groupBy(F.col("h1").alias("id")).agg(F.min("row").alias("row")), "id")
-    texts = rows.join(wanted.select("row").distinct(), "row", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(gram), "id long, elements binary").dropDuplicates(["id"]), "sets")
-    tried = materialize(_check(shared.filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), sets, percent), "tried")
-    links = tried.filter("ok").select("a", "b")
+    buckets = max(64, total >> 24)
+    scan = rows.mapInArrow(_scan(gram, percent, buckets), f"{_MEMBER_SQL}, bucket long, blob binary")
+    found = materialize(scan.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), f"{_MEMBER_SQL}, bucket long, blob binary"), "found")
+    members = found.filter("blob IS NULL").select("doc_id", "row", "n", "h1", "h2")
+    null = F.lit(None).cast("long")
+    lists = found.filter("blob IS NOT NULL").select(F.lit(LISTS).alias("kind"), "bucket", null.alias("x"), null.alias("y"), null.alias("z"), "blob")
+    # Each set with the likeliest other: this links most of what is to be linked.
+    weighed = packedsteps.step(packedsteps.step(lists, _weigh(buckets)), _hubs(buckets))
+    tried = materialize(packedsteps.step(weighed, _best).select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
+    # The text of one row for each set that shares a signature, and the fewest signatures that it shares with a linked one.
+    one = found.filter("n > 0").groupBy(F.col("h1").alias("id")).agg(F.min("row").alias("row"), F.max("need").alias("need"))
+    wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(one, "id"), "wanted")
+    texts = materialize(rows.select("row", "text").join(wanted.select("id", "row"), "row").select("id", "text"), "texts")
+    checker = _Checker(texts, gram, percent)
+    links = checker.stars(tried)
     roots = components(links)
-    # Groups that hold several components: all pairs across them must be tried.
-    open_groups = _open(shared, roots)
-    for seed in (1, 2):
-        sizes = open_groups.groupBy("sig").agg(F.count("*").alias("n"))
-        if sizes.filter(F.col("n") > large).isEmpty():
-            break
-        big = open_groups.join(sizes.filter(F.col("n") > large).select("sig"), "sig", "left_semi").select("sig", "id")
-        again = _group(big.join(sets, "id").mapInArrow(_refine(percent, seed, buckets), "bucket long, blob binary"))
-        rest = open_groups.join(sizes.filter(F.col("n") > large).select("sig"), "sig", "left_anti")
-        open_groups = materialize(rest.unionByName(_open(again, roots)), "refined")
-    left, right = open_groups.alias("l"), open_groups.alias("r")
-    pairs = (
-        left.join(right, F.col("l.sig") == F.col("r.sig")).filter("l.root < r.root")
-        .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-        .join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = materialize(_check(pairs, sets, percent).filter("ok").select("a", "b"), "more")
+    # Pairs that still share signatures across components meet family by family.
+    known = wanted.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "need")
+    rooted = packedsteps.step(lists.unionByName(packedsteps.pack(known, ROOTS, ["id", "root", "need"], buckets)), _root(buckets))
+    pairs = materialize(packedsteps.step(packedsteps.step(rooted, _across(buckets)), _enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "across")
+    families = components(pairs).select("id", F.col("root").alias("family"))
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    families = materialize(families.join(sizes, "family"), "families")
+    calls = pairs.join(families.withColumnRenamed("id", "a"), "a").mapInArrow(_call(buckets), packedsteps.SQL)
+    placed = checker.small.join(families, "id").mapInArrow(_place_sets(buckets), packedsteps.SQL)
+    likely = packedsteps.step(calls.unionByName(placed), _settle(percent), spread=True).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = checker.links(materialize(likely.distinct(), "likely"))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return _classes(members, roots)
 
 
-def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, id, root) of groups with two roots or more."""
-    known = groups.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    known = materialize(known, "known")
-    return known.join(known.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("sig"), "sig", "left_semi")
-
-
 def _classes(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Each row's least reachable doc_id, by sums over classes before rows are met again."""
     classes = members.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("id", "h1"), "h1", "left").select("h1", "h2", "least", "root")
-    of_root = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))
-    known = rooted.join(of_root, "root", "left").select("h1", "h2", F.coalesce("of_root", "least").alias("component_id"))
+    rooted = classes.join(roots.withColumnRenamed("id", "h1"), "h1", "left").select("h1", "h2", "least", F.coalesce("root", "h1").alias("component"))
+    of_root = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = rooted.join(of_root, "component").select("h1", "h2", "component", "component_id")
     met = members.filter("n > 0").join(known, ["h1", "h2"])
-    return met.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    names = ["doc_id", "row", F.col("n").alias("n_shingles"), "component", "component_id"]
+    return met.select(*names).unionByName(
+        members.filter("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     )
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
-    return jaccard_classes(docs, F.col("text"), F.col("doc_id"), percent=85, gram=4)
+    return jaccard_classes(docs, F.col("text"), F.col("doc_id"), percent=85, gram=4).select("doc_id", "n_shingles", "component_id")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80, gram: int = 5) -> DataFrame:
+    """docs with one row of each group of linked rows: the one of least doc_id
+    (null first), then of least hash. Rows without words all stay."""
+    classes = jaccard_classes(docs, F.col(text), F.col(doc_id), percent, gram)
+    best = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
+    keep = materialize(best.unionByName(classes.filter("component IS NULL").select(F.col("row").alias("__row")).distinct()), "kept")
+    rows = docs.withColumn("__row", row_key(F.col(doc_id), F.col(text))).join(keep, "__row", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    return rows.withColumn("__n", first).filter((F.col("__n") == 1) | (word_count(F.col(text)) == 0)).drop("__row", "__n")
