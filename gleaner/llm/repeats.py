@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .units import U, by_bucket, flat, joined, packed, ranges, slices
+from .units import U, by_bucket, joined, packed, ranges, slices
 
 FLUSH = 1 << 19
-POSITION = 40  # bits
 RESOLVED, OPEN, WITNESS = 1, 2, 4
 
 

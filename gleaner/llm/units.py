@@ -140,7 +140,3 @@ def packed(rows: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
     for a, b in zip(at, [*at[1:], len(k)]):
         yield int(k[a]), rows[a:b].tobytes()
-
-
-def masked_join(raw: np.ndarray, keep: np.ndarray) -> bytes:
-    return raw[keep].tobytes()
