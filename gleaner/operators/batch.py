@@ -58,7 +58,7 @@ def built_flag(jobs: DataFrame, built: DataFrame, key: Column) -> DataFrame:
     return jobs.join(b, key == F.col("__key"), "left").drop("__key")
 
 
-def card_html(c: dict[str, Column] | None = None) -> Column:
+def card_html() -> Column:
     """A card as a fragment of a page."""
     e = escape_html
     col = F.col
