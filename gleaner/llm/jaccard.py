@@ -281,7 +281,7 @@ def _shared(buckets: int):
     return run
 
 
-#: Kinds of packed rows: (set, signature); (set, root, need); (signature, set, weight); (set, hub); (signature, set, root, need);
+#: Kinds of packed rows: (set, signature); (set, root, need, size, sketch); (signature, set, weight); (set, hub); (signature, set, root, need, size, sketch);
 #: (two sets, signatures that they must share, signatures shared). And rows that are not packed: two sets that are to meet; a whole set.
 LISTS, ROOTS, WEIGHTS, HUBS, ROOTED, PAIRS, MEET, SETS = range(1, 9)
 #: Sets that one task holds against each other; a larger family is split into blocks, and each two blocks meet.
@@ -332,12 +332,12 @@ def _attached(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _root(buckets: int):
     def work(b) -> Iterator[pa.RecordBatch]:
-        rows, roots = b.rows(LISTS, 2), b.rows(ROOTS, 3)
+        rows, roots = b.rows(LISTS, 2), b.rows(ROOTS, 4 + WORDS)
         roots = roots[np.argsort(roots[:, 0], kind="stable")]
         i, known = _attached(rows[:, 0], roots)
         rows, i = rows[known], i[known]
         if len(rows):
-            yield packedsteps.dealt(ROOTED, np.stack([rows[:, 1], rows[:, 0], roots[i, 1], roots[i, 2]], axis=1), rows[:, 1], buckets)
+            yield packedsteps.dealt(ROOTED, np.concatenate([rows[:, ::-1], roots[i, 1:]], axis=1), rows[:, 1], buckets)
 
     return work
 
@@ -352,11 +352,12 @@ def _counted(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _across(buckets: int):
-    """Pairs of one group and different roots. In groups of one root, which are nearly all, no pair is made."""
+def _across(percent: int, buckets: int):
+    """Pairs of one group and different roots, but for those whose sketches differ in more bits than linked sets do in
+    elements. In groups of one root, which are nearly all, no pair is made."""
 
     def work(b) -> Iterator[pa.RecordBatch]:
-        rows = b.rows(ROOTED, 4)
+        rows = b.rows(ROOTED, 5 + WORDS)
         rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
         at, n = packedsteps.groups(rows[:, 0])
         several = rows[at, 2] != rows[at + n - 1, 2] if len(rows) else np.zeros(0, dtype=bool)
@@ -371,10 +372,13 @@ def _across(buckets: int):
         for size in np.unique(n):
             i, j = np.triu_indices(size, 1)
             some = at[n == size]
-            for part in np.array_split(some, max(1, len(some) * len(i) // FLUSH)):
+            for part in np.array_split(some, max(1, len(some) * len(i) // (FLUSH >> 3))):
                 x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
                 apart = rows[x, 2] != rows[y, 2]
                 x, y = rows[x[apart]], rows[y[apart]]
+                differ = np.bitwise_count(x[:, 5:] ^ y[:, 5:]).sum(axis=1, dtype=np.int64)
+                near = differ <= (100 - percent) * (x[:, 4] + y[:, 4]).astype(np.int64) // (100 + percent)
+                x, y = x[near], y[near]
                 low, high = np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1])
                 held.append(_counted(np.stack([low, high, np.maximum(x[:, 3], y[:, 3]), np.ones(len(x), dtype=U)], axis=1)))
                 n_held += len(held[-1])
@@ -467,6 +471,18 @@ def compact(s: np.ndarray) -> bytes:
     return np.array([len(s), wide], dtype=np.int64).tobytes() + low.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
+#: 64-bit words of a parity sketch.
+WORDS = 8
+_SKETCH = [f"p{j}" for j in range(WORDS)]
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each cell of the domain: whether the set has an odd number of elements there. Two sets'
+    sketches differ in no more bits than the sets differ in elements."""
+    odd = np.bincount((mix(s) >> U(55)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
 def _expand(blob: bytes) -> tuple[int, int, bool, np.ndarray]:
     """Size, width, whether some hashes have the same low bytes, and these, sorted."""
     n, wide = np.frombuffer(blob, dtype=np.int64, count=2).tolist()
@@ -527,8 +543,12 @@ def _sets(gram: int, small: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets_of = Sets(gram)
         for piece in slices(batches):
-            pack = compact if small else np.ndarray.tobytes
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([pack(s) for s in sets_of(piece.column("text"))], pa.binary())], names=["id", "elements"])
+            sets = sets_of(piece.column("text"))
+            columns = [piece.column("id"), pa.array([compact(s) if small else s.tobytes() for s in sets], pa.binary())]
+            if small:
+                sketch = np.array([parity(s) for s in sets], dtype=U).reshape(-1, WORDS)
+                columns += [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(_signed(sketch[:, j].copy())) for j in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "elements", *(["n", *_SKETCH] if small else [])])
 
     return run
 
@@ -538,7 +558,8 @@ class _Checker:
 
     def __init__(self, texts: DataFrame, gram: int, percent: int):
         self.texts, self.gram, self.percent = texts, gram, percent
-        self.small = materialize(texts.mapInArrow(_sets(gram, True), "id long, elements binary"), "compact")
+        sketch = ", ".join(f"{c} long" for c in _SKETCH)
+        self.small = materialize(texts.mapInArrow(_sets(gram, True), f"id long, elements binary, n long, {sketch}"), "compact")
 
     def sets(self, of: DataFrame) -> DataFrame:
         one = self.texts.join(of.select("id").distinct(), "id", "left_semi")
@@ -551,7 +572,7 @@ class _Checker:
         members = pairs.select(F.col("b").alias("id"), F.col("a").alias("key")).join(salts, "key")
         members = members.select("id", "key", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
         centres = salts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-        placed = members.unionByName(centres).join(self.small, "id")
+        placed = members.unionByName(centres).join(self.small.select("id", "elements"), "id")
         dealt = placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
         return self.links(materialize(dealt.mapInArrow(_stars(self.percent), "a long, b long"), "likely"))
 
@@ -595,14 +616,14 @@ def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int
     links = checker.stars(tried)
     roots = components(links)
     # Pairs that still share signatures across components meet family by family.
-    known = wanted.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "need")
-    rooted = packedsteps.step(lists.unionByName(packedsteps.pack(known, ROOTS, ["id", "root", "need"], buckets)), _root(buckets))
-    pairs = materialize(packedsteps.step(packedsteps.step(rooted, _across(buckets)), _enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "across")
+    known = wanted.join(roots, "id", "left").join(checker.small.select("id", "n", *_SKETCH), "id").withColumn("root", F.coalesce("root", "id"))
+    rooted = packedsteps.step(lists.unionByName(packedsteps.pack(known, ROOTS, ["id", "root", "need", "n", *_SKETCH], buckets)), _root(buckets))
+    pairs = materialize(packedsteps.step(packedsteps.step(rooted, _across(percent, buckets)), _enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "across")
     families = components(pairs).select("id", F.col("root").alias("family"))
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     families = materialize(families.join(sizes, "family"), "families")
     calls = pairs.join(families.withColumnRenamed("id", "a"), "a").mapInArrow(_call(buckets), packedsteps.SQL)
-    placed = checker.small.join(families, "id").mapInArrow(_place_sets(buckets), packedsteps.SQL)
+    placed = checker.small.select("id", "elements").join(families, "id").mapInArrow(_place_sets(buckets), packedsteps.SQL)
     likely = packedsteps.step(calls.unionByName(placed), _settle(percent), spread=True).select(F.col("x").alias("a"), F.col("y").alias("b"))
     more = checker.links(materialize(likely.distinct(), "likely"))
     if not more.isEmpty():
