@@ -281,7 +281,7 @@ def _shared(buckets: int):
     return run
 
 
-#: Kinds of packed rows: (set, signature); (set, root, need, size, sketch); (signature, set, weight); (set, hub); (signature, set, root, need, size, sketch);
+#: Kinds of packed rows: (set, signature); (set, root, need, size, sketch); (signature, set, weight and mark); (set, hub); (signature, set, root, need, size, sketch);
 #: (two sets, signatures that they must share, signatures shared). And rows that are not packed: two sets that are to meet; a whole set.
 LISTS, ROOTS, WEIGHTS, HUBS, ROOTED, PAIRS, MEET, SETS = range(1, 9)
 #: Sets that one task holds against each other; a larger family is split into blocks, and each two blocks meet.
@@ -289,33 +289,38 @@ BLOCK = 1024
 
 
 def _weigh(buckets: int):
+    """Weights are twice the number of signatures that the set shares, and one more in one group of each set."""
+
     def work(b) -> Iterator[pa.RecordBatch]:
         rows = b.rows(LISTS, 2)
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        _, n = packedsteps.groups(rows[:, 0])
-        yield packedsteps.dealt(WEIGHTS, np.stack([rows[:, 1], rows[:, 0], np.repeat(n, n).astype(U)], axis=1), rows[:, 1], buckets)
+        at, n = packedsteps.groups(rows[:, 0])
+        weight = np.repeat(n, n).astype(U) << U(1)
+        weight[at] |= U(1)
+        yield packedsteps.dealt(WEIGHTS, np.stack([rows[:, 1], rows[:, 0], weight], axis=1), rows[:, 1], buckets)
 
     return work
 
 
 def _hubs(buckets: int):
-    """For each member of a group its hub: the set that shares the most signatures."""
+    """For each member of a group its hub: the set that shares the most signatures. A hub is its own in the group
+    that its weight marks, so that sets that are hubs wherever they are come up too."""
 
     def work(b) -> Iterator[pa.RecordBatch]:
         rows = b.rows(WEIGHTS, 3)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2] >> U(1), rows[:, 0]))]
         at, n = packedsteps.groups(rows[:, 0])
         hub = np.repeat(rows[at + n - 1, 1], n)
-        rest = rows[:, 1] != hub
+        rest = (rows[:, 1] != hub) | (rows[:, 2] & U(1) > 0)
         yield packedsteps.dealt(HUBS, np.stack([rows[rest, 1], hub[rest]], axis=1), rows[rest, 1], buckets)
 
     return work
 
 
 def _best(b) -> Iterator[pa.RecordBatch]:
-    """x: the hub that a set (y) shares the most groups with."""
+    """x: the hub that a set (y) shares the most groups with; the set itself if it has no other."""
     rows, n = np.unique(b.rows(HUBS, 2), axis=0, return_counts=True)
-    order = np.lexsort((rows[:, 1], n, rows[:, 0]))
+    order = np.lexsort((rows[:, 1], n, rows[:, 0] != rows[:, 1], rows[:, 0]))
     rows = rows[order]
     at, size = packedsteps.groups(rows[:, 0])
     best = rows[at + size - 1]
@@ -613,7 +618,7 @@ def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int
     wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(one, "id"), "wanted")
     texts = materialize(rows.select("row", "text").join(wanted.select("id", "row"), "row").select("id", "text"), "texts")
     checker = _Checker(texts, gram, percent)
-    links = checker.stars(tried)
+    links = checker.stars(tried.filter("a <> b"))
     roots = components(links)
     # Pairs that still share signatures across components meet family by family.
     known = wanted.join(roots, "id", "left").join(checker.small.select("id", "n", *_SKETCH), "id").withColumn("root", F.coalesce("root", "id"))

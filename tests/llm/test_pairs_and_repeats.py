@@ -10,7 +10,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
-from gleaner.llm import jaccard, prefix_free, suffix_tree
+from gleaner.llm import jaccard, packedsteps, prefix_free, suffix_tree
 from gleaner.llm.components import components
 
 KIND = "doc_id bigint, text string"
@@ -55,6 +55,45 @@ def test_signatures_meet_wherever_sets_are_linked():
             assert jaccard.may_link(jaccard._expand(jaccard.compact(a)), jaccard._expand(jaccard.compact(b)), percent)
 
 
+def tried_of(lists, buckets=4):
+    """Pairs (hub, set) that are tried first for (set, signature) lists."""
+
+    def deal(batches):
+        of = {}
+        for b in batches:
+            for kind, k, x, y, z, blob in zip(*[b.column(c).to_pylist() for c in b.schema.names]):
+                of.setdefault(k, packedsteps.Bucket()).setdefault(kind, []).append((x, y, z, blob))
+        return of.values()
+
+    now = [packedsteps.dealt(jaccard.LISTS, lists, lists[:, 0].copy(), buckets)]
+    for work in (jaccard._weigh(buckets), jaccard._hubs(buckets), jaccard._best):
+        now = [out for b in deal(now) for out in work(b)]
+    return {p for b in now for p in zip(b.column("x").to_pylist(), b.column("y").to_pylist())}
+
+
+def test_every_set_that_shares_a_signature_is_tried():
+    """Set 9 is the hub of all its groups, and each neighbour shares more groups with another hub."""
+    lists, sig = [], iter(range(10**6))
+
+    def share(n, *sets):
+        for _ in range(n):
+            s = next(sig)
+            lists.extend((x, s) for x in sets)
+
+    for a, g in ((1, 4), (2, 5), (3, 6)):
+        share(10, 9, a)
+        share(12, a, g)
+        share(11, g, g + 10)
+    tried = tried_of(np.array(lists, dtype=np.uint64))
+    assert {x for p in tried for x in p} == {x for x, _ in lists}
+    assert {(4, 1), (5, 2), (6, 3), (4, 14), (5, 15), (6, 16)} <= tried
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sets = [rng.choice(30, int(rng.integers(2, 5)), replace=False) for _ in range(int(rng.integers(5, 60)))]
+        lists = np.array([(x, i) for i, group in enumerate(sets) for x in group], dtype=np.uint64)
+        assert {x for p in tried_of(lists) for x in p} == set(lists[:, 0].tolist())
+
+
 @pytest.mark.parametrize("percent,gram", [(85, 4), (80, 5)])
 def test_classes_against_all_pairs(spark, percent, gram):
     rows = corpus(percent)
