@@ -682,6 +682,18 @@ def detail_pick(t):
     )
 
 
+# Whole texts: one candidate in three is empty, one has newlines in rows and white space at its ends.
+@query("""SELECT doc_id, md5(CASE WHEN len(a) > 300 THEN regexp_replace(a, '\\n{3,}', chr(10) || chr(10), 'g') WHEN len(text) > 300 THEN regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') ELSE '' END) AS detail,
+len(a) AS pane, len(a) > 200 AS ready FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN text ELSE concat(text, repeat(chr(10), 4), text) END AS a FROM documents)""")
+def detail_pick_whole(t):
+    k = F.col("doc_id") % 3
+    gap = F.lit("\n\n\n\n")
+    rows = t("documents").select("doc_id", F.when(k == 0, "").when(k == 1, F.col("text")).otherwise(F.concat(gap, "text", gap, "text", F.lit(" \t"))).alias("a"), F.col("text").alias("b"))
+    return rows.select(
+        "doc_id", F.md5(collect.detail_text(F.col("a"), F.col("b"))).alias("detail"), long(F.length(collect.pane_text(F.col("a")))).alias("pane"), collect.pane_ready(F.col("a")).alias("ready")
+    )
+
+
 # Captured pages of the three sites, made from parts.
 _INDEED = """concat('<html><body><div class="job_seen_beacon"><h2 class="jobTitle"><a data-jk="', p_partkey, '" href="', CASE WHEN p_partkey % 2 = 0 THEN concat('/rc/clk?jk=', p_partkey) ELSE '' END, '"></a>', p_name,
 '</h2><span data-testid="company-name">', p_brand, ' &amp; Co</span></div><div class="job_seen_beacon">no link</div></body></html>')"""
