@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .units import LETTER, U, Hasher, flat, ranges, slices, words
-from .wordfeatures import lowered, word_features
+from .wordfeatures import later_grams, lowered, word_features
 
 DIM = 1 << 15
 WINDOW = 64
@@ -30,13 +30,14 @@ SEED = 31
 
 
 def _read(column: pa.Array, h: Hasher):
-    """Each text's range among the words; the distinct words' hashes and features; each word's number among them."""
+    """Each text's range among the words; the distinct words' hashes and features, and what n-grams they have beyond; each word's number among them."""
     raw, off = flat(column)
     low = lowered(raw)
     a, b, at = words(low, off, LETTER)
     p = h.prefix(h.of_byte[low])
     key, first, which = np.unique(h.span(p, a, b), return_index=True, return_inverse=True)
-    return at, key, word_features(h, p, a[first], b[first], DIM, HEADS, TAILS, GRAM, GRAMS), which
+    a, b = a[first], b[first]
+    return at, key, word_features(h, p, a, b, DIM, HEADS, TAILS, GRAM, GRAMS), later_grams(h, p, a, b, DIM, GRAM, GRAMS), which
 
 
 def forward_backward(score: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,15 +91,19 @@ class Field:
             out[ok] = self.listed[i[ok]]
         return out
 
-    def emit(self, key: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    def emit(self, key: np.ndarray, feats: np.ndarray, later: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         out = self.lists(key) @ self.listed_weight
         for j in range(feats.shape[1]):
             out += self.weights[feats[:, j]]
+        word, feat = later
+        if len(word):
+            for i in range(len(self.languages)):
+                out[:, i] += np.bincount(word, weights=self.weights[feat, i], minlength=len(key))
         return out
 
     def train(self, texts: Sequence[str], labels: Sequence[int], rounds: int = 40, rate: float = 0.15, decay: float = 1e-5) -> None:
         h, n = Hasher(SEED), len(self.languages)
-        at, key, feats, which = _read(pa.array(texts, pa.large_string()), h)
+        at, key, feats, later, which = _read(pa.array(texts, pa.large_string()), h)
         label = np.repeat(np.asarray(labels), np.diff(at))
         # Lexicons: the words most typical of a language.
         counts = np.stack([np.bincount(which[label == i], minlength=len(key)) for i in range(n)], axis=1)
@@ -129,6 +134,9 @@ class Field:
         seen, word = np.unique(which[order], return_inverse=True)
         word = word.reshape(order.shape)
         f, k, y = feats[seen], key[seen], label[order]
+        i = np.minimum(np.searchsorted(seen, later[0]), len(seen) - 1)
+        ours = seen[i] == later[0]
+        later = i[ours], later[1][ours]
         lists = self.lists(k)
         truth_moves = np.zeros((n, n))
         np.add.at(truth_moves, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
@@ -136,11 +144,13 @@ class Field:
         params = [self.weights, self.listed_weight, self.move]
         square = [np.zeros(p.shape, dtype=np.float64) for p in params]
         for _ in range(rounds):
-            score = self.emit(k, f)[word]
+            score = self.emit(k, f, later)[word]
             post, pairs, _ = forward_backward(score, length, self.move)
             diff = (truth - post).reshape(-1, n) / len(order)
             of_word = np.stack([np.bincount(word.ravel(), weights=diff[:, i], minlength=len(seen)) for i in range(n)], axis=1)
             grad = np.stack([np.bincount(f.ravel(), weights=np.repeat(of_word[:, i], f.shape[1]), minlength=DIM + 1) for i in range(n)], axis=1)
+            if len(later[0]):
+                grad += np.stack([np.bincount(later[1], weights=of_word[later[0], i], minlength=DIM + 1) for i in range(n)], axis=1)
             grad[DIM] = 0
             grads = [grad - decay * self.weights, lists.T @ of_word, (truth_moves - pairs) / len(order)]
             for p, g, q in zip(params, grads, square):
@@ -157,7 +167,7 @@ def _label(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(SEED)
         for piece in slices(batches):
-            at, key, feats, which = _read(piece.column("text"), h)
+            at, key, feats, later, which = _read(piece.column("text"), h)
             count = np.diff(at)
             windows = -(-count // WINDOW)
             head = np.repeat(at[:-1], windows) + ranges(windows) * WINDOW
@@ -167,7 +177,7 @@ def _label(field: Field):
             if len(head):
                 score = np.zeros((len(head), WINDOW, n), dtype=np.float32)
                 cell = np.repeat(np.arange(len(head)) * WINDOW, length) + ranges(length)
-                score.reshape(-1, n)[cell] = field.emit(key, feats)[which]
+                score.reshape(-1, n)[cell] = field.emit(key, feats, later)[which]
                 post, _, _ = forward_backward(score, length, field.move)
                 post = post.reshape(-1, n)[cell]
                 best = post.argmax(axis=1)

@@ -115,6 +115,17 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"} and langid.identify_documents(df.limit(0)).collect() == []
 
 
+def test_middles_of_long_words_count(spark):
+    """Runs without blanks that begin and end alike and differ only between."""
+    rng = random.Random(5)
+    kinds = {"ja": "のはをにがでとも", "zh": "的是不了在有我他"}
+    text = lambda k: "漢" * 4 + "".join(rng.choices(kinds[k], k=40)) + "漢" * 4
+    rows = [(i, text(k), k) for i, k in enumerate(["ja", "zh"] * 100)]
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    held = [(i, k) for i, _, k in rows if __import__("zlib").crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 20 and sum(out[i] == k for i, k in held) >= 0.9 * len(held)
+
+
 def test_toxicity_finds_documents_and_sentences(spark):
     rng = random.Random(2)
     plain = ["one", "two", "three", "four", "five", "six"]
