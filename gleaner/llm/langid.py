@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .units import LETTER, U, Hasher, flat, ranges, slices, words
@@ -202,9 +202,10 @@ def _label(field: Field):
 
 
 def learn(docs: DataFrame, text: str, lang: str, usable: Column, per_language: int = PER_LANGUAGE) -> Field | None:
-    """A field trained from a sample of usable rows, about per_language of each language (at most twice that); none without rows."""
+    """A field trained from a sample of the distinct usable texts, about per_language of each language (at most twice that, those of
+    the least hashes); none without rows."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()
+    counts = rows.groupBy(lang).agg(F.approx_count_distinct(F.xxhash64(text), 0.02).alias("count")).orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not counts:
@@ -212,7 +213,9 @@ def learn(docs: DataFrame, text: str, lang: str, usable: Column, per_language: i
     languages = sorted(r[0] for r in counts)
     draw = F.pmod(F.xxhash64(F.lit(SEED), text), F.lit(1_000_000))
     cut = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1_000_000, per_language * 1_000_000 // r[1] + 1))])
-    picked = rows.filter(draw < F.element_at(cut, F.col(lang))).select(text, lang, F.xxhash64(text).alias("h")).limit(2 * per_language * len(languages)).collect()
+    drawn = rows.filter(draw < F.element_at(cut, F.col(lang))).select(text, lang).distinct().withColumn("h", F.xxhash64(text))
+    place = F.row_number().over(Window.partitionBy(lang).orderBy("h", text))
+    picked = drawn.withColumn("__n", place).filter(F.col("__n") <= 2 * per_language).collect()
     picked.sort(key=lambda r: (r["h"], r[1], r[0]))
     field = Field(languages)
     field.train([r[0] for r in picked], [languages.index(r[1]) for r in picked])
@@ -225,7 +228,7 @@ def identify(docs: DataFrame, usable: Column, carry: Sequence[str] = ("doc_id",)
     `usable` says which rows may be learned from. Texts without a letter, null and empty ones are `und` with
     score 0, and so is everything where nothing can be learned. A run's words are of ASCII letters and characters beyond
     ASCII; sequences for the field are 64 words, so long texts take no more memory at once than a slice of the input.
-    Equal texts get equal results. Carried columns must not have the names of the new ones. No shuffle but the counts of languages.
+    Equal texts get equal results. Carried columns must not have the names of the new ones. No shuffle but the counts of languages and the drawn texts.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     field = learn(docs, text, lang, usable, per_language)

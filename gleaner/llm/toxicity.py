@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .units import LETTER, Hasher, flat, slices, words
@@ -140,16 +140,17 @@ def _score(model: Model, carry: list[str]):
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """A model from a sample of the labelled documents: of each class those with the lowest hashes of their ids, at
-    most per_class (toxic, not toxic). Without documents of both classes, no sentence is toxic."""
-    known = labels.filter(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    most per_class (toxic, not toxic), and of rows of one id two distinct texts at most. Without documents of both classes, no sentence is toxic."""
+    known = labels.filter(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     model = Model()
     if not n.get(0) or not n.get(1):
         return model
     draw = F.xxhash64(F.lit(SEED), "doc_id")
     ids = known.filter("toxic = 1").orderBy(draw, "doc_id").limit(per_class[0]).unionByName(known.filter("toxic = 0").orderBy(draw, "doc_id").limit(per_class[1]))
-    most = sum(per_class)  # rows of the broadcast side
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * most).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id", "toxic").orderBy(F.xxhash64("text"), "text"))
+    rows = found.withColumn("__n", place).filter("__n <= 2").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     if {r["toxic"] for r in rows} != {0, 1}:
         return model

@@ -150,6 +150,22 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert {r["score"] < 0.5 for r in toxicity.toxicity_documents(df, labels.limit(0)).collect()} == {True}
 
 
+def test_copies_do_not_fill_the_samples(spark, monkeypatch):
+    took = []
+    monkeypatch.setattr(langid.Field, "train", lambda self, texts, labels: took.extend((t, self.languages[i]) for t, i in zip(texts, labels)))
+    rows = [("same text", "aa")] * 3000 + [(f"text {i}", "aa") for i in range(60)] + [(f"other {i}", "bb") for i in range(300)]
+    langid.learn(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", F.lit(True), 20)
+    assert len(set(took)) == len(took)
+    assert all(8 <= sum(k == lang for _, k in took) <= 40 for lang in ("aa", "bb"))
+
+    took.clear()
+    monkeypatch.setattr(toxicity.Model, "train", lambda self, texts, labels, weight: took.extend(zip(texts, labels)))
+    docs = spark.createDataFrame([(i, f"text {i} {j}") for i in range(20) for j in range(100)] + [(i, f"text {i} 0") for i in range(20)], KIND)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 50, "doc_id bigint, toxic int")
+    toxicity.learn(docs, labels, F.lit(True), (5, 5))
+    assert len(took) == len(set(took)) == 20 and len({t.split()[1] for t, _ in took}) == 10
+
+
 def test_urls_against_plain_arithmetic(spark):
     urls = ["http://Win.Casino.example.net/poker?x=1", "https://docs.example.com/fr/a", "http://example.org/es/x", "http://a.example.org/en/12", "http://badexample.org/es/", "http://x.com/de/1#y", "http://x.org", None, "", "no url",
             "://", "a://b://c/d", "http://h/" + "p" * 5000]
