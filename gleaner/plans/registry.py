@@ -122,7 +122,7 @@ def upsert(t):
 def upsert_into_store(t):
     """The same rows in two steps."""
     s = _sightings(t)
-    half = store.latest(s.filter("seq % 1000 < 0 OR seq < 5000"), keys.store_key(F.col("url")))
+    half = store.latest(s.filter("seq < 5000"), keys.store_key(F.col("url")))
     return store.upsert(half, s.filter("seq >= 5000")).select(*_STORE_COLUMNS)
 
 
@@ -723,6 +723,18 @@ def scan_details(t):
     return html.scan_details(rows).select("doc_id", (F.col("description") != "").alias("long"))
 
 
+_CLEAN = "replace(replace(text, '<', ' '), '&', ' ')"
+_LINES = rf"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(rf"""SELECT doc_id, CAST(len(d) AS BIGINT) AS n, md5(d) AS description
+FROM (SELECT doc_id, CASE WHEN len(x) > 300 THEN x ELSE '' END AS d FROM (SELECT doc_id, regexp_replace({_LINES}, '^\s+|\s+$', '', 'g') AS x FROM documents))""")
+def scan_details_whole(t):
+    page = F.expr(f"concat('<html><head><style>p</style></head><body><script>x()</script><main>', {_CLEAN}, '</main></body></html>')")
+    rows = t("documents").select("doc_id", F.lit("https://www.stepstone.de/stellenangebote--x").alias("url"), page.alias("html"))
+    return html.scan_details(rows).select("doc_id", long(F.length("description")).alias("n"), F.md5("description").alias("description"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collected postings of all pages, upserted into an empty store."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
