@@ -11,7 +11,7 @@ are then checked against the sets themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -282,10 +282,12 @@ def _shared(buckets: int):
 
 
 #: Kinds of packed rows: (set, signature); (set, root, need, size, sketch); (signature, set, weight and mark); (set, hub); (signature, set, root, need, size, sketch);
-#: (two sets, signatures that they must share, signatures shared). And rows that are not packed: two sets that are to meet; a whole set.
-LISTS, ROOTS, WEIGHTS, HUBS, ROOTED, PAIRS, MEET, SETS = range(1, 9)
+#: (two sets, signatures that they must share, signatures shared); as ROOTED, with twice the block and whether another block is met. And rows that are not packed: two sets that are to meet; a whole set.
+LISTS, ROOTS, WEIGHTS, HUBS, ROOTED, PAIRS, MEET, SETS, BLOCKED = range(1, 10)
 #: Sets that one task holds against each other; a larger family is split into blocks, and each two blocks meet.
 BLOCK = 1024
+#: Sets of one signature whose pairs one task makes; and pairs that it holds at once.
+LARGE, AT_ONCE = 8192, 1 << 17
 
 
 def _weigh(buckets: int):
@@ -357,41 +359,89 @@ def _counted(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def cross_pairs(at: np.ndarray, n: np.ndarray, root: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers of one group and different roots, about `most` at a time. at, n: first row and size of each group, whose rows are sorted by root."""
+    if not len(at):
+        return
+    rows = np.repeat(at, n) + ranges(n)
+    end = np.repeat(at + n, n)
+    edge = np.flatnonzero(np.r_[True, (root[rows[1:]] != root[rows[:-1]]) | (end[1:] != end[:-1])])
+    size = np.diff(np.r_[edge, len(rows)])
+    other = np.repeat(rows[edge] + size, size)  # the first row of the next root
+    left = end - other
+    total = np.cumsum(left)
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        yield np.repeat(rows[a:b], left[a:b]), np.repeat(other[a:b], left[a:b]) + ranges(left[a:b])
+        a = b
+
+
+def _meet_across(rows: np.ndarray, at: np.ndarray, n: np.ndarray, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed pairs of one group and different roots, but for those whose sketches differ in more bits than linked sets do in elements."""
+    held, n_held = [], 0
+    for x, y in cross_pairs(at, n, rows[:, 2], AT_ONCE):
+        differ = np.zeros(len(x), dtype=np.int64)
+        for j in range(5, 5 + WORDS):
+            differ += np.bitwise_count(rows[x, j] ^ rows[y, j])
+        near = differ <= (100 - percent) * (rows[x, 4] + rows[y, 4]).astype(np.int64) // (100 + percent)
+        if rows.shape[1] > 5 + WORDS:  # where two blocks meet, pairs of one block are left to where it is alone
+            near &= (rows[x, -1] != rows[y, -1]) | (rows[x, -1] & U(1) == 0)
+        x, y = x[near], y[near]
+        if len(x):
+            low, high = np.minimum(rows[x, 1], rows[y, 1]), np.maximum(rows[x, 1], rows[y, 1])
+            held.append(_counted(np.stack([low, high, np.maximum(rows[x, 3], rows[y, 3]), np.ones(len(x), dtype=U)], axis=1)))
+            n_held += len(held[-1])
+        if n_held > FLUSH >> 1:
+            held = [_counted(np.concatenate(held))]
+            n_held = len(held[0])
+        if n_held > FLUSH >> 1:
+            yield packedsteps.dealt(PAIRS, held[0], mix(held[0][:, 0]) ^ held[0][:, 1], buckets)
+            held, n_held = [], 0
+    if n_held:
+        out = _counted(np.concatenate(held))
+        yield packedsteps.dealt(PAIRS, out, mix(out[:, 0]) ^ out[:, 1], buckets)
+
+
+def _several(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ROOTED rows in order of signature and root; first row and size of the groups with several roots."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+    at, n = packedsteps.groups(rows[:, 0])
+    several = rows[at, 2] != rows[at + n - 1, 2] if len(rows) else np.zeros(0, dtype=bool)
+    return rows, at[several], n[several]
+
+
 def _across(percent: int, buckets: int):
-    """Pairs of one group and different roots, but for those whose sketches differ in more bits than linked sets do in
-    elements. In groups of one root, which are nearly all, no pair is made."""
+    """Pairs of groups with several roots; in groups of one root, which are nearly all, no pair is made. A group of more
+    than LARGE sets is dealt in blocks, before it has pairs: each two blocks meet under a key of their own."""
 
     def work(b) -> Iterator[pa.RecordBatch]:
-        rows = b.rows(ROOTED, 5 + WORDS)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
-        at, n = packedsteps.groups(rows[:, 0])
-        several = rows[at, 2] != rows[at + n - 1, 2] if len(rows) else np.zeros(0, dtype=bool)
-        at, n = at[several], n[several]
-        held, n_held = [], 0
+        rows, at, n = _several(b.rows(ROOTED, 5 + WORDS))
+        large = n > LARGE
+        yield from _meet_across(rows, at[~large], n[~large], percent, buckets)
+        for first, size in zip(at[large], n[large]):
+            group, blocks = rows[first : first + size], -(-size // LARGE)
+            block = mix(group[:, 1] + U(3)) % U(blocks)
+            for i in range(blocks):
+                mine = group[block == i]
+                for j in range(blocks):
+                    key = mine.copy()
+                    key[:, 0] = mix(mine[:, 0] ^ mix(U(min(i, j) * 1_000_003 + max(i, j))))
+                    side = np.full((len(key), 1), 2 * i + (i != j), dtype=U)
+                    yield packedsteps.dealt(BLOCKED, np.concatenate([key, side], axis=1), key[:, 0], buckets)
+
+    return work
 
-        def flush() -> pa.RecordBatch:
-            out = _counted(np.concatenate(held))
-            held.clear()
-            return packedsteps.dealt(PAIRS, out, mix(out[:, 0]) ^ out[:, 1], buckets)
-
-        for size in np.unique(n):
-            i, j = np.triu_indices(size, 1)
-            some = at[n == size]
-            for part in np.array_split(some, max(1, len(some) * len(i) // (FLUSH >> 3))):
-                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                apart = rows[x, 2] != rows[y, 2]
-                x, y = rows[x[apart]], rows[y[apart]]
-                differ = np.bitwise_count(x[:, 5:] ^ y[:, 5:]).sum(axis=1, dtype=np.int64)
-                near = differ <= (100 - percent) * (x[:, 4] + y[:, 4]).astype(np.int64) // (100 + percent)
-                x, y = x[near], y[near]
-                low, high = np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1])
-                held.append(_counted(np.stack([low, high, np.maximum(x[:, 3], y[:, 3]), np.ones(len(x), dtype=U)], axis=1)))
-                n_held += len(held[-1])
-                if n_held > FLUSH:
-                    yield flush()
-                    n_held = 0
-        if n_held:
-            yield flush()
+
+def _blocks(percent: int, buckets: int):
+    """Pairs as they are, and those of two blocks that meet."""
+
+    def work(b) -> Iterator[pa.RecordBatch]:
+        for _, _, _, blob in b.get(PAIRS, ()):
+            pairs = np.frombuffer(blob, dtype=U).reshape(-1, 4)
+            yield packedsteps.dealt(PAIRS, pairs, mix(pairs[:, 0]) ^ pairs[:, 1], buckets)
+        rows, at, n = _several(b.rows(BLOCKED, 6 + WORDS))
+        yield from _meet_across(rows, at, n, percent, buckets)
 
     return work
 
@@ -427,19 +477,20 @@ def _call(buckets: int):
     return run
 
 
-def _settle(percent: int):
-    """Of the pairs that meet in a bucket those that may be linked."""
+def _settle(by: str, percent: int):
+    """Of the pairs that meet in a bucket those that pass the test."""
+    expand, test = TESTS[by]
 
     def work(b) -> Iterator[pa.RecordBatch]:
-        sets = {(z, x): _expand(blob) for x, _, z, blob in b.get(SETS, ())}
-        found = [(x, y) for x, y, z, _ in b.get(MEET, ()) if may_link(sets[z, x], sets[z, y], percent)]
+        sets = {(z, x): expand(blob) for x, _, z, blob in b.get(SETS, ())}
+        found = [(x, y) for x, y, z, _ in b.get(MEET, ()) if test(sets[z, x], sets[z, y], percent)]
         yield packedsteps.batch(packedsteps.PLAIN, len(found), x=[x for x, _ in found], y=[y for _, y in found])
 
     return work
 
 
-def _place_sets(buckets: int):
-    """Compact sets at each meeting of their block."""
+def _place_sets(by: str, buckets: int):
+    """Sets (in the form that the test reads) at each meeting of their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -450,7 +501,7 @@ def _place_sets(buckets: int):
             at = np.repeat(np.arange(b.num_rows), blocks)
             meeting = _meeting(family[at], _block(ids[at], blocks[at]), ranges(blocks))
             yield packedsteps.batch(
-                SETS, len(at), bucket=packedsteps.bucket_of(meeting, buckets), x=_signed(ids[at]), z=_signed(meeting), blob=b.column("elements").take(pa.array(at))
+                SETS, len(at), bucket=packedsteps.bucket_of(meeting, buckets), x=_signed(ids[at]), z=_signed(meeting), blob=b.column(by).take(pa.array(at))
             )
 
     return run
@@ -517,17 +568,49 @@ def may_link(x: tuple, y: tuple, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
-def _stars(percent: int):
-    """Pairs that may be linked: each member against its centre, which comes before the members of its key and salt."""
+#: Elements of a set to a cell of its tally, about.
+EACH = 8
+
+
+def tally(s: np.ndarray) -> bytes:
+    """How many elements the set has in each cell of the domain, a byte each, after its size. Cells are a power of two in number;
+    two next to each other make one of half as many. Nothing but the size if a byte can't hold a count."""
+    cells = 1 << max(3, (len(s) // EACH).bit_length())
+    count = np.bincount((mix(s ^ U(0x2545F4914F6CDD1D)) >> U(65 - cells.bit_length())).astype(np.int64), minlength=cells)
+    return np.array([len(s)], dtype=np.int64).tobytes() + (count.astype(np.uint8).tobytes() if count.max() < 256 else b"")
+
+
+def _tallied(blob: bytes) -> tuple[int, np.ndarray]:
+    return int(np.frombuffer(blob, dtype=np.int64, count=1)[0]), np.frombuffer(blob, dtype=np.uint8, offset=8).astype(np.int16)
+
+
+def near_tallies(x: tuple, y: tuple, percent: int) -> bool:
+    """False only if the sets are not linked: sets differ in as many elements at least as their tallies do."""
+    (n, a), (m, b) = x, y
+    if not len(a) or not len(b):
+        return True
+    if len(a) != len(b):
+        cells = min(len(a), len(b))
+        a, b = a.reshape(cells, -1).sum(axis=1), b.reshape(cells, -1).sum(axis=1)
+    return int(np.abs(a - b).sum()) <= (100 - percent) * (n + m) // (100 + percent)
+
+
+#: What a test reads: the column of _Checker.small, how it is expanded, and the test of two of them.
+TESTS: dict[str, tuple[Callable, Callable]] = {"tally": (_tallied, near_tallies), "elements": (_expand, may_link)}
+
+
+def _stars(by: str, percent: int):
+    """Pairs that pass the test: each member against its centre, which comes before the members of its key and salt."""
+    expand, test = TESTS[by]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, now = None, None
         for batch in batches:
             a, b = [], []
-            for key, salt, role, i, blob in zip(*[batch.column(c).to_pylist() for c in ("key", "salt", "role", "id", "elements")]):
+            for key, salt, role, i, blob in zip(*[batch.column(c).to_pylist() for c in ("key", "salt", "role", "id", by)]):
                 if role == 0:
-                    centre, now = _expand(blob), (key, salt)
-                elif now == (key, salt) and may_link(centre, _expand(blob), percent):
+                    centre, now = expand(blob), (key, salt)
+                elif now == (key, salt) and test(centre, expand(blob), percent):
                     a.append(key)
                     b.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -552,8 +635,8 @@ def _sets(gram: int, small: bool):
             columns = [piece.column("id"), pa.array([compact(s) if small else s.tobytes() for s in sets], pa.binary())]
             if small:
                 sketch = np.array([parity(s) for s in sets], dtype=U).reshape(-1, WORDS)
-                columns += [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(_signed(sketch[:, j].copy())) for j in range(WORDS)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "elements", *(["n", *_SKETCH] if small else [])])
+                columns += [pa.array([tally(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(_signed(sketch[:, j].copy())) for j in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "elements", *(["tally", "n", *_SKETCH] if small else [])])
 
     return run
 
@@ -564,22 +647,41 @@ class _Checker:
     def __init__(self, texts: DataFrame, gram: int, percent: int):
         self.texts, self.gram, self.percent = texts, gram, percent
         sketch = ", ".join(f"{c} long" for c in _SKETCH)
-        self.small = materialize(texts.mapInArrow(_sets(gram, True), f"id long, elements binary, n long, {sketch}"), "compact")
+        self.small = materialize(texts.mapInArrow(_sets(gram, True), f"id long, elements binary, tally binary, n long, {sketch}"), "compact")
 
     def sets(self, of: DataFrame) -> DataFrame:
         one = self.texts.join(of.select("id").distinct(), "id", "left_semi")
         return one.mapInArrow(_sets(self.gram, False), "id long, elements binary")
 
     def stars(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked. The compact sets of b meet that of a, in
-        runs of at most STAR; what they let through is settled by the whole sets."""
-        salts = pairs.groupBy(F.col("a").alias("key")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-        members = pairs.select(F.col("b").alias("id"), F.col("a").alias("key")).join(salts, "key")
-        members = members.select("id", "key", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
-        centres = salts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-        placed = members.unionByName(centres).join(self.small.select("id", "elements"), "id")
-        dealt = placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
-        return self.links(materialize(dealt.mapInArrow(_stars(self.percent), "a long, b long"), "likely"))
+        """The pairs (a, b) that are linked. What is known of each b meets that of a, in runs of at most STAR: tallies, then compact sets;
+        what they let through is settled by the whole sets."""
+        for by in TESTS:
+            salts = pairs.groupBy(F.col("a").alias("key")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+            members = pairs.select(F.col("b").alias("id"), F.col("a").alias("key")).join(salts.hint("merge"), "key")
+            members = members.select("id", "key", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
+            centres = salts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+            placed = members.unionByName(centres).join(self.small.select("id", by).hint("merge"), "id")
+            dealt = placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
+            pairs = materialize(dealt.mapInArrow(_stars(by, self.percent), "a long, b long"), by)
+            if pairs.isEmpty():
+                return pairs
+        return self.links(pairs)
+
+    def families(self, pairs: DataFrame, buckets: int) -> DataFrame:
+        """The pairs (a, b) that are linked, of which one set may have very many. Sets that pairs connect are dealt in blocks of about BLOCK, and each two
+        blocks meet: tallies, then compact sets; what they let through is settled by the whole sets."""
+        for by in TESTS:
+            if pairs.isEmpty():
+                return pairs
+            members = components(pairs).select("id", F.col("root").alias("family"))
+            sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+            members = materialize(members.join(sizes, "family"), "families")
+            calls = pairs.join(members.withColumnRenamed("id", "a"), "a").mapInArrow(_call(buckets), packedsteps.SQL)
+            placed = self.small.select("id", by).join(members, "id").mapInArrow(_place_sets(by, buckets), packedsteps.SQL)
+            met = packedsteps.step(calls.unionByName(placed), _settle(by, self.percent), spread=True)
+            pairs = materialize(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), by)
+        return self.links(pairs)
 
     def links(self, likely: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those that are linked, by the whole sets."""
@@ -616,21 +718,16 @@ def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int
     # The text of one row for each set that shares a signature, and the fewest signatures that it shares with a linked one.
     one = found.filter("n > 0").groupBy(F.col("h1").alias("id")).agg(F.min("row").alias("row"), F.max("need").alias("need"))
     wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(one, "id"), "wanted")
-    texts = materialize(rows.select("row", "text").join(wanted.select("id", "row"), "row").select("id", "text"), "texts")
+    texts = materialize(rows.select("row", "text").join(wanted.select("id", "row").hint("merge"), "row").select("id", "text"), "texts")
     checker = _Checker(texts, gram, percent)
     links = checker.stars(tried.filter("a <> b"))
     roots = components(links)
     # Pairs that still share signatures across components meet family by family.
     known = wanted.join(roots, "id", "left").join(checker.small.select("id", "n", *_SKETCH), "id").withColumn("root", F.coalesce("root", "id"))
     rooted = packedsteps.step(lists.unionByName(packedsteps.pack(known, ROOTS, ["id", "root", "need", "n", *_SKETCH], buckets)), _root(buckets))
-    pairs = materialize(packedsteps.step(packedsteps.step(rooted, _across(percent, buckets)), _enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "across")
-    families = components(pairs).select("id", F.col("root").alias("family"))
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    families = materialize(families.join(sizes, "family"), "families")
-    calls = pairs.join(families.withColumnRenamed("id", "a"), "a").mapInArrow(_call(buckets), packedsteps.SQL)
-    placed = checker.small.select("id", "elements").join(families, "id").mapInArrow(_place_sets(buckets), packedsteps.SQL)
-    likely = packedsteps.step(calls.unionByName(placed), _settle(percent), spread=True).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = checker.links(materialize(likely.distinct(), "likely"))
+    met = packedsteps.step(packedsteps.step(rooted, _across(percent, buckets)), _blocks(percent, buckets))
+    pairs = materialize(packedsteps.step(met, _enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "across")
+    more = checker.families(pairs, buckets)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return _classes(members, roots)
@@ -650,6 +747,7 @@ def _classes(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
+    """One row for every row of documents, repeated ones too; null and empty texts have no shingles and are their own component."""
     return jaccard_classes(docs, F.col("text"), F.col("doc_id"), percent=85, gram=4).select("doc_id", "n_shingles", "component_id")
 
 
@@ -666,3 +764,18 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     rows = docs.withColumn("__row", row_key(F.col(doc_id), F.col(text))).join(keep, "__row", "left_semi")
     first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
     return rows.withColumn("__n", first).filter((F.col("__n") == 1) | (word_count(F.col(text)) == 0)).drop("__row", "__n")
+
+
+ORACLE = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, array_to_string(ws[i + 1:i + 4], ' ') AS x FROM (SELECT rid, ws, unnest(range(0, greatest(1, len(ws) - 3))) AS i FROM d WHERE len(ws) > 0)),
+e AS (SELECT DISTINCT rid, x FROM s),
+n AS (SELECT rid, count(*) AS n FROM e GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+w AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a),
+c AS (SELECT r.a, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY r.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n ON n.rid = d.rid JOIN c ON c.a = d.rid
+"""

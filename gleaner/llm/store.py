@@ -22,14 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Has Spark drop the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once and read it back, so that a lost executor costs no more
-    than the tasks after this point."""
+    than the tasks after this point. What was shuffled for it is dropped: only the table is read from then on."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("gleaner-"):
+                folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
