@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a task takes apart at once; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
