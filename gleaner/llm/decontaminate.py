@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
+from .store import materialize, release
 from .units import ALNUM, LOWER, Hasher, flat, ranges, slices, words
 
 WINDOW = 10
 SHARD_BYTES = 16 << 20
-#: Bytes of benchmark text searched in one pass; a larger benchmark takes several passes.
+#: Bytes of benchmark text that the driver holds and that are searched for in one pass; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
 
 
@@ -177,47 +178,76 @@ def decontaminate(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The carried columns with n_words, n_hit, spans (of word numbers) and items;
-    with cut also clean_text, without the text from the first to the last word of each span.
+    with cut also clean_text, without the text from the first to the last word of each span. These replace carried columns of their names.
 
     benchmark has item_id and text. Words are runs of ASCII letters and digits and all characters beyond ASCII,
     ASCII letters lowered. An item's windows of `window` consecutive words are searched; a shorter
     item is one window, one without words or null none. A null text has no words and its clean_text is null. Items of
-    one id count once. Without documents there are no rows, without items no hits. Carried columns must not have the
-    names of the new ones.
+    one id count once. A text of any length is searched whole. Without documents there are no rows, without items no hits.
 
-    The benchmark reaches every task, so it is searched in blocks of at most block_bytes of text (plus one item);
-    further blocks are further passes over the documents, whose findings are merged.
+    What is searched for reaches the driver and every task, so the benchmark is dealt into blocks of at most block_bytes of text (one
+    item may be longer). The driver holds one block at a time: each is read, searched for in one pass over the documents, and
+    let go of when the pass's findings are written.
     """
-    blocks: list[tuple[list, list]] = []
-    size = block_bytes + 1
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).orderBy("i", "t").toLocalIterator():
-        if size > block_bytes:
-            blocks.append(([], []))
-            size = 0
-        blocks[-1][0].append(r["i"])
-        blocks[-1][1].append(r["t"])
-        size += len(r["t"] or "")
-    blocks = blocks or [([], [])]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    typed = ", ".join(f"`{c}` {kinds[c]}" for c in carry)
-    found = "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>" + ", clean_text string" * cut
+    new = ["n_words", "n_hit", "spans", "items"] + ["clean_text"] * cut
+    at = {c: "__text" if c == text else f"__c{i}" for i, c in enumerate(carry) if c not in new}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in {**at, text: "__text"}.items()])
+    typed = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in at.items())
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
+    blocks, where = _blocks(items, block_bytes)
+    shown = [*[F.col(n).alias(c) for c, n in at.items()], *new]
     if len(blocks) == 1:
-        p = Phrases(*blocks[0], window)
-        return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(_search(p, list(carry), text, shard_bytes, cut), f"{typed}, {found}")
-    return _in_passes(docs, blocks, list(carry), text, window, cut, shard_bytes, typed)
+        found = f"{typed}n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>" + ", clean_text string" * cut
+        return rows.mapInArrow(_search(_phrases(where, blocks[0], window), list(at.values()), "__text", shard_bytes, cut), found).select(*shown)
+    return _in_passes(rows, where, blocks, list(at.values()), window, cut, shard_bytes, typed).select(*shown)
 
 
-def _in_passes(docs, blocks, carry, text, window, cut, shard_bytes, typed):
-    """A pass for each block, that keeps the texts; spans are merged and cut after the last."""
+#: Parts of the benchmark to a block; blocks are made of whole parts.
+PARTS = 64
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> tuple[list[tuple[int, int]], DataFrame]:
+    """First and last part of each block of items, and the items with their part. Of the items only the parts' sizes reach the driver."""
+    size = (F.coalesce(F.octet_length("t"), F.lit(0)) + 8).cast("long")
+    total = items.agg(F.sum(size)).first()[0] or 0
+    if total <= block_bytes:
+        return [(0, 0)], items.withColumn("part", F.lit(0))
+    parts = PARTS * -(-total // block_bytes)
+    dealt = materialize(items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int")), "benchmark")
+    blocks: list[tuple[int, int]] = []
+    held = 0
+    for part, n in dealt.groupBy("part").agg(F.sum(size)).orderBy("part").collect():
+        if blocks and held + n <= block_bytes:
+            blocks[-1] = (blocks[-1][0], part)
+            held += n
+        else:
+            blocks.append((part, part))
+            held = n
+    return blocks, dealt
+
+
+def _phrases(items: DataFrame, block: tuple[int, int], window: int) -> Phrases:
+    rows = items.filter(F.col("part").between(*block)).orderBy("i", "t").collect()
+    return Phrases([r["i"] for r in rows], [r["t"] for r in rows], window)
+
+
+def _in_passes(docs, items, blocks, carry, window, cut, shard_bytes, typed):
+    """A pass for each block, that keeps the texts and is written; spans are merged and cut after the last."""
     kind = "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
-    now = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text"), F.array().cast("array<struct<start:long,end:long>>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    more = "`__text` string, `__spans` array<struct<start:long,end:long>>, `__items` array<string>"
-    for ids, texts in blocks:
-        p = Phrases(ids, texts, window)
-        held = [*carry, "__text", "__spans", "__items"]
-        now = now.mapInArrow(_search(p, held, "__text", shard_bytes, False), ", ".join(x for x in (typed, more, kind) if x))
-        now = now.select(*carry, "__text", "n_words", F.concat("__spans", "spans").alias("__spans"), F.array_union("__items", "items").alias("__items"))
-        done, now = now, now.drop("n_words")
+    now = docs.select("*", F.array().cast("array<struct<start:long,end:long>>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    held = [*now.columns]
+    more = "" if "__text" in carry else "__text string, "
+    more += "__spans array<struct<start:long,end:long>>, __items array<string>"
+    last = None
+    for block in blocks:
+        search = _search(_phrases(items, block, window), held, "__text", shard_bytes, False)
+        found = now.mapInArrow(search, f"{typed}{more}, {kind}")
+        del search
+        done = materialize(found.select(*held[:-2], "n_words", F.concat("__spans", "spans").alias("__spans"), F.array_union("__items", "items").alias("__items")), "pass")
+        del found
+        if last is not None:
+            release(last)
+        last, now = done, done.drop("n_words")
     names = [*carry, "n_words", "n_hit", "spans", "items"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +275,11 @@ def _in_passes(docs, blocks, carry, text, window, cut, shard_bytes, typed):
             columns = [batch.column(c) for c in carry] + [batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(spans, pa.list_(_SPAN)), batch.column("__items")]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.string())] if cut else [])], names=[*names, *(["clean_text"] if cut else [])])
 
-    return done.mapInArrow(merge, ", ".join(x for x in (typed, kind) if x) + ", clean_text string" * cut)
+    return last.mapInArrow(merge, f"{typed}{kind}" + ", clean_text string" * cut)
 
 
 def check_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for every row of documents, repeated ones too; null and empty texts have no words, no hits and the hash of no items."""
     out = decontaminate(docs, benchmark)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -2,8 +2,8 @@
 
 Each rule gives a failure flag per document. Failures are summed per host, the
 hosts' rates are shrunk by an empirical beta prior (method of moments over the
-hosts), and a host whose shrunk rate is above the limit for any rule loses all
-its documents. Native expressions only.
+hosts), and a host whose shrunk rate is above a rule's limit, which follows from
+that prior, loses all its documents. Native expressions only.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ SYMBOLS = "#*$%&|<>"
 GRAM = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30  # percent of words
-#: A host fails if its shrunk failure rate for any rule is above this.
-HOST_LIMIT = 0.6
+#: A host fails if its shrunk failure rate for any rule lies more than so many of the prior's standard deviations above the prior's mean. The limit is
+#: never below the first nor above the second of these rates.
+HOST_DEVIATIONS, HOST_LEAST, HOST_MOST = 3.0, 0.4, 0.8
 PRIOR_LEAST, PRIOR_MOST = 1.0, 1000.0
 
 
@@ -83,23 +84,24 @@ def rules() -> dict[str, Column]:
     }
 
 
-def judge_hosts(measured: DataFrame, host: Column, limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per host (null is a host): host, n, host_ok and each rule's shrunk rate."""
+def judge_hosts(measured: DataFrame, host: Column, deviations: float = HOST_DEVIATIONS, least: float = HOST_LEAST) -> DataFrame:
+    """One row per host (null is a host): host, n, host_ok and each rule's shrunk rate and limit."""
     fails = rules()
     per = measured.groupBy(host.alias("host")).agg(
         F.count("*").alias("n"), *[F.sum(f.cast("long")).alias(f"f_{k}") for k, f in fails.items()]
     )
     per = materialize(per, "hosts")
     moments = per.agg(*[g(F.col(f"f_{k}") / F.col("n")).alias(f"{p}_{k}") for k in fails for p, g in (("m", F.avg), ("v", F.var_pop))]).first()
-    rates = {}
+    rates, limits = {}, {}
     for k in fails:
         m, v = moments[f"m_{k}"] or 0.0, moments[f"v_{k}"] or 0.0
         strength = min(PRIOR_MOST, max(PRIOR_LEAST, m * (1 - m) / v - 1)) if v > 0 else PRIOR_MOST
         rates[k] = (F.col(f"f_{k}") + m * strength) / (F.col("n") + strength)
+        limits[k] = min(HOST_MOST, max(least, m + deviations * (m * (1 - m) / (strength + 1)) ** 0.5))
     ok = F.lit(True)
-    for r in rates.values():
-        ok = ok & (r <= limit)
-    return per.select("host", "n", ok.alias("host_ok"), *[r.alias(f"rate_{k}") for k, r in rates.items()])
+    for k, r in rates.items():
+        ok = ok & (r <= limits[k])
+    return per.select("host", "n", ok.alias("host_ok"), *[x.alias(f"{p}_{k}") for k in rates for p, x in (("rate", rates[k]), ("limit", F.lit(limits[k])))])
 
 
 def apply_host_rules(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
@@ -121,12 +123,22 @@ def apply_host_rules(docs: DataFrame, host: str = "source", text: str = "text")
     )
 
 
+#: The host of a document where short texts are made to have one of their own, in Spark and in DuckDB.
+BAD_HOST = "CASE WHEN length(text) < 300 THEN 'short.example' ELSE source END"
+
+
 def quality_documents(docs: DataFrame) -> DataFrame:
+    """One row for every row of documents; null and empty texts have no words and fail. A null source is a host."""
     out = apply_host_rules(docs.select("doc_id", "source", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _oracle() -> str:
+def bad_host_documents(docs: DataFrame) -> DataFrame:
+    """quality_documents where one host fails: documents under 300 characters are put on a host of their own."""
+    return quality_documents(docs.withColumn("source", F.expr(BAD_HOST)))
+
+
+def _oracle(source: str = "source") -> str:
     flags = {
         "few_words": f"n_words < {MIN_WORDS}",
         "repeats": f"100 * n_repeat_words > {MAX_REPEAT} * n_words",
@@ -138,12 +150,12 @@ def _oracle() -> str:
     moments = ", ".join(f"avg(f_{k} / n) AS m_{k}, var_pop(f_{k} / n) AS v_{k}" for k in flags)
     strength = "CASE WHEN v_{k} > 0 THEN least({b}, greatest({a}, m_{k} * (1 - m_{k}) / v_{k} - 1)) ELSE {b} END"
     ok = " AND ".join(
-        f"(f_{k} + m_{k} * ({s})) / (n + ({s})) <= {HOST_LIMIT}"
+        f"(f_{k} + m_{k} * ({s})) / (n + ({s})) <= least({HOST_MOST}, greatest({HOST_LEAST}, m_{k} + {HOST_DEVIATIONS} * sqrt(m_{k} * (1 - m_{k}) / (({s}) + 1))))"
         for k in flags
         for s in [strength.format(k=k, a=PRIOR_LEAST, b=PRIOR_MOST)]
     )
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {source} AS source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
         [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS ls FROM d),
 g AS (SELECT rid, i, array_to_string(ws[i + 1:i + {GRAM}], ' ') AS s
@@ -168,3 +180,4 @@ FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source
 
 
 ORACLE = _oracle()
+BAD_HOST_ORACLE = _oracle(BAD_HOST)

@@ -23,6 +23,9 @@ DIM = 1 << 15
 WINDOW = 64
 #: At most so many labelled documents of each language are learned from.
 PER_LANGUAGE = 400
+#: Longer texts are not learned from (they are predicted like others), so that the sample has a bound in bytes.
+SAMPLE_BYTES = 64 << 10
+#: The commonest languages, so many, are learned; a rarer value of lang is never predicted.
 MAX_LANGUAGES = 200
 LEXICON = 200
 HEADS, TAILS, GRAM, GRAMS = (1, 2, 3, 4), (1, 2, 3, 4), 3, 8
@@ -40,15 +43,22 @@ def _read(column: pa.Array, h: Hasher):
     return at, key, word_features(h, p, a, b, DIM, HEADS, TAILS, GRAM, GRAMS), later_grams(h, p, a, b, DIM, GRAM, GRAMS), which
 
 
-def forward_backward(score: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(
+    score: np.ndarray, length: np.ndarray, move: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors (s x t x l), expected transitions (l x l) and log-likelihood's normalisers (s).
 
-    score: emission log-potentials, padded; length: words of each sequence; move: transition log-potentials."""
+    score: emission log-potentials, padded; length: words of each sequence; move: transition log-potentials. enter, leave: what comes
+    forward to the first word and backward to the last (s x l) where a sequence is a part of a longer one."""
     s, t, l = score.shape
     top = score.max(axis=2, keepdims=True)
     e = np.exp(score - top)
     m = np.exp(move)
     alpha, beta = np.empty_like(e), np.ones_like(e)
+    if enter is not None:
+        e[:, 0] *= enter
+    last = np.ones((s, l), dtype=e.dtype) if leave is None else leave.astype(e.dtype)
+    beta[:] = last[:, None, :]
     norm = np.ones((s, t), dtype=e.dtype)
     alpha[:, 0] = e[:, 0]
     for i in range(t):
@@ -58,7 +68,7 @@ def forward_backward(score: np.ndarray, length: np.ndarray, move: np.ndarray) ->
         alpha[:, i] /= norm[:, i, None]
     for i in range(t - 2, -1, -1):
         nxt = (e[:, i + 1] * beta[:, i + 1]) @ m.T / norm[:, i + 1, None]
-        beta[:, i] = np.where((i + 1 < length)[:, None], nxt, 1)
+        beta[:, i] = np.where((i + 1 < length)[:, None], nxt, last)
     inside = np.arange(t) < length[:, None]
     post = alpha * beta
     post /= post.sum(axis=2, keepdims=True)
@@ -71,6 +81,37 @@ def forward_backward(score: np.ndarray, length: np.ndarray, move: np.ndarray) ->
     return post, pairs, logz
 
 
+def between(score: np.ndarray, length: np.ndarray, move: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """enter and leave of windows that make up longer sequences. windows: how many each sequence has, one after the other.
+
+    Each window's steps are multiplied into one matrix, all windows at once; these carry the messages from window to window."""
+    n, t, l = score.shape
+    m = np.exp(move.astype(np.float64))
+    e = np.exp(score - score.max(axis=2, keepdims=True)).astype(np.float64)
+    through = np.broadcast_to(np.eye(l), (n, l, l)).copy()
+    for i in range(t):
+        live = np.flatnonzero(i < length)
+        x = (through[live].reshape(-1, l) @ m).reshape(-1, l, l) * e[live, i, None, :]
+        through[live] = x / x.max(axis=(1, 2), keepdims=True)
+    enter, leave = np.ones((n, l)), np.ones((n, l))
+    scaled = lambda x: x / x.max(axis=1, keepdims=True)
+    at = (np.cumsum(windows) - windows)[windows > 1]  # each longer sequence's first window
+    many = windows[windows > 1]
+    if not len(at):
+        return enter, leave
+    x = e[at, 0]
+    for i in range(1, t):
+        x = scaled((x @ m) * e[at, i])
+    for k in range(1, int(many.max())):
+        x, now = x[many[many >= k] > k], at[many > k] + k
+        enter[now] = scaled(x @ m)
+        x = scaled(np.einsum("sa,sab->sb", x, through[now]))
+    for k in range(int(many.max()) - 1, 0, -1):
+        now = at[many > k] + k
+        leave[now - 1] = scaled(np.einsum("sab,sb->sa", through[now], leave[now]))
+    return enter, leave
+
+
 class Field:
     """Weights of the features (and one row of zeros), of the lexicons, and of the transitions."""
 
@@ -178,7 +219,7 @@ def _label(field: Field):
                 score = np.zeros((len(head), WINDOW, n), dtype=np.float32)
                 cell = np.repeat(np.arange(len(head)) * WINDOW, length) + ranges(length)
                 score.reshape(-1, n)[cell] = field.emit(key, feats, later)[which]
-                post, _, _ = forward_backward(score, length, field.move)
+                post, _, _ = forward_backward(score, length, field.move, *between(score, length, field.move, windows))
                 post = post.reshape(-1, n)[cell]
                 best = post.argmax(axis=1)
                 some = count > 0
@@ -203,11 +244,9 @@ def _label(field: Field):
 
 def learn(docs: DataFrame, text: str, lang: str, usable: Column, per_language: int = PER_LANGUAGE) -> Field | None:
     """A field trained from a sample of the distinct usable texts, about per_language of each language (at most twice that, those of
-    the least hashes); none without rows."""
-    rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).agg(F.approx_count_distinct(F.xxhash64(text), 0.02).alias("count")).orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    the least hashes; ties in the hash by text), none over SAMPLE_BYTES long; none without rows."""
+    rows = docs.filter(usable & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
+    counts = rows.groupBy(lang).agg(F.approx_count_distinct(F.xxhash64(text), 0.02).alias("count")).orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
     if not counts:
         return None
     languages = sorted(r[0] for r in counts)
@@ -227,7 +266,7 @@ def identify(docs: DataFrame, usable: Column, carry: Sequence[str] = ("doc_id",)
 
     `usable` says which rows may be learned from. Texts without a letter, null and empty ones are `und` with
     score 0, and so is everything where nothing can be learned. A run's words are of ASCII letters and characters beyond
-    ASCII; sequences for the field are 64 words, so long texts take no more memory at once than a slice of the input.
+    ASCII; the field runs over a whole text, in windows of 64 words that hand their messages on.
     Equal texts get equal results. Carried columns must not have the names of the new ones. No shuffle but the counts of languages and the drawn texts.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -252,5 +291,6 @@ def held_out() -> Column:
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
+    """One row for every row of documents; `und` with score 0 for null and empty texts and those without a letter. A null doc_id is not held out."""
     out = identify(docs.select("doc_id", "text", "lang"), ~held_out())
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -9,6 +9,7 @@ stream make up what is left of the shard's quota.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,8 +38,12 @@ def sainte_lague(weights: Sequence[float], seats: int) -> np.ndarray:
         else:
             low = mid
     q = np.floor(w * (low * (1 - 1e-12)) + 0.5).astype(np.int64)  # a hair below, so that ties are settled here
+    heap = [(-x, i) for i, x in enumerate((w / (2 * q + 1)).tolist())]
+    heapq.heapify(heap)
     for _ in range(int(seats - q.sum())):
-        q[np.argmax(w / (2 * q + 1))] += 1
+        i = heap[0][1]
+        q[i] += 1
+        heapq.heapreplace(heap, (-w[i] / (2 * q[i] + 1), i))
     return q
 
 
@@ -129,6 +134,7 @@ def mix(
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """All documents, measured in words."""
-    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "sizes")
-    return mix(rows, F.col("source"), [F.col("doc_id")], F.col("n_words")).select("doc_id", "size", "source_size", "target", "taken")
+    """All documents, measured in words: one row for every row. Null and empty texts have size 0 and are not taken; a null source is one. Rows of one id
+    are ordered by their texts, so that null ids are no hot shard."""
+    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("of_text")), "sizes")
+    return mix(rows, F.col("source"), [F.col("doc_id"), F.col("of_text")], F.col("n_words")).select("doc_id", "size", "source_size", "target", "taken")

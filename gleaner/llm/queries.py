@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, prefix_free, suffix_tree
+from . import decontaminate, host_rules, jaccard, prefix_free, standins, suffix_tree
 from .decontaminate import check_documents
 from .host_rules import quality_documents
 from .jaccard import join_documents
@@ -24,6 +24,14 @@ QUERIES = {
     "op8_toxicity": lambda spark, d: toxicity_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_prefix_free": lambda spark, d: prefix_free.dedup_documents(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
+    **standins.QUERIES,
 }
 
-ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op6_suffix_tree": suffix_tree.ORACLE, "op7_host_rules": host_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE,
+    "op5_jaccard_join": jaccard.ORACLE,
+    "op6_suffix_tree": suffix_tree.ORACLE,
+    "op7_host_rules": host_rules.ORACLE,
+    "op9_prefix_free": prefix_free.ORACLE,
+    **standins.ORACLES,
+}

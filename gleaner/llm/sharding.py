@@ -151,7 +151,8 @@ def shard(
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """Every document's shard; equal texts stay together."""
+    """Every document's shard; equal texts stay together, and null is a text of its own, of size 1. Rows of one id are ordered by their texts, so
+    that null ids are no hot chunk."""
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -159,6 +160,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         F.md5("text").alias("text_md5"),
     )
     rows = materialize(rows, "digests")
-    return shard(rows, F.col("text_md5"), F.col("size"), [F.col("doc_id")], n_shards).select(
+    return shard(rows, F.col("text_md5"), F.col("size"), [F.col("doc_id"), F.col("text_md5")], n_shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

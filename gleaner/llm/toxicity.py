@@ -24,6 +24,8 @@ HEADS, TAILS = (3, 4, 5, 6), (4,)
 PER_CLASS = (2000, 4000)
 #: Features are learned for if their log-likelihood ratio, by documents of either class, reaches this.
 LEAST_RATIO = 18.0
+#: Longer texts are not learned from (they are scored like others), so that the sample has a bound in bytes.
+SAMPLE_BYTES = 64 << 10
 SEED = 41
 _BREAK = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
@@ -140,7 +142,7 @@ def _score(model: Model, carry: list[str]):
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """A model from a sample of the labelled documents: of each class those with the lowest hashes of their ids, at
-    most per_class (toxic, not toxic), and of rows of one id two distinct texts at most. Without documents of both classes, no sentence is toxic."""
+    most per_class (toxic, not toxic), and of rows of one id two distinct texts at most, none over SAMPLE_BYTES long. Without documents of both classes, no sentence is toxic."""
     known = labels.filter(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     model = Model()
@@ -148,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: tuple[i
         return model
     draw = F.xxhash64(F.lit(SEED), "doc_id")
     ids = known.filter("toxic = 1").orderBy(draw, "doc_id").limit(per_class[0]).unionByName(known.filter("toxic = 0").orderBy(draw, "doc_id").limit(per_class[1]))
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct()
+    found = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct()
     place = F.row_number().over(Window.partitionBy("doc_id", "toxic").orderBy(F.xxhash64("text"), "text"))
     rows = found.withColumn("__n", place).filter("__n <= 2").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
@@ -174,5 +176,6 @@ def held_out() -> Column:
 
 
 def toxicity_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for every row of documents; null and empty texts score 0. A null doc_id is not held out."""
     out = score_documents(docs, labels, ~held_out())
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

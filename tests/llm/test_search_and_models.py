@@ -70,6 +70,27 @@ def test_decontamination_against_a_scan(spark, block, shard):
     assert all(r["clean_text"] == same[r["doc_id"]] for r in rows if not r["n_hit"] and r["doc_id"] in same)
 
 
+def test_the_driver_holds_one_block_of_the_benchmark(spark, monkeypatch):
+    import weakref
+
+    alive, sizes, most = weakref.WeakSet(), [], []
+
+    class Held(decontaminate.Phrases):
+        def __init__(self, ids, texts, window):
+            sizes.append((len(texts), sum(8 + len((t or "").encode()) for t in texts)))
+            super().__init__(ids, texts, window)
+            alive.add(self)
+            most.append(len(alive))
+
+    monkeypatch.setattr(decontaminate, "Phrases", Held)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(300)]
+    docs = [(i, f"before {items[i * 7][1]} after") for i in range(40)]
+    out = decontaminate.decontaminate(spark.createDataFrame(docs, KIND), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=3000)
+    assert sorted((r["doc_id"], r["n_hit"], r["items"]) for r in out.collect()) == [(i, 12, [str(i * 7)]) for i in range(40)]
+    assert len(sizes) > 5 and sum(n for n, _ in sizes) == 300 and all(b <= 3000 for _, b in sizes)
+    assert max(most) <= 2  # a block, and what is not yet collected of the one before
+
+
 def test_decontamination_of_and_with_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b")], KIND), spark.createDataFrame([], "item_id bigint, text string")
     assert [tuple(r) for r in decontaminate.check_documents(docs, items).select("doc_id", "n_words", "n_hit", "contaminated").collect()] == [(1, 2, 0, False)]
@@ -94,6 +115,25 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(post[0], want) and np.allclose(pairs, moves) and np.isclose(logz[0], np.log(z))
 
 
+def test_windows_hand_on_their_messages():
+    rng = np.random.default_rng(6)
+    move, t = rng.normal(size=(3, 3)), 4
+    sizes = [1, 4, 5, 11, 12, 3]
+    windows = np.array([-(-n // t) for n in sizes])
+    score, length = np.zeros((windows.sum(), t, 3)), np.zeros(windows.sum(), dtype=int)
+    want, at = [], 0
+    for n, w in zip(sizes, windows):
+        one = rng.normal(size=(n, 3)) * 2
+        want.append(langid.forward_backward(one[None], np.array([n]), move)[0][0])
+        for k in range(w):
+            part = one[k * t : (k + 1) * t]
+            score[at + k, : len(part)], length[at + k] = part, len(part)
+        at += w
+    post, _, _ = langid.forward_backward(score, length, move, *langid.between(score, length, move, windows))
+    got = np.concatenate([p[:n] for p, n in zip(post, length)])
+    assert np.allclose(got, np.concatenate(want))
+
+
 def texts(seed, n):
     rng = random.Random(seed)
     kinds = {"aa": ["the", "and", "with", "there", "thing", "going"], "bb": ["der", "und", "nicht", "schön", "über", "machen"]}
@@ -171,26 +211,39 @@ def test_urls_against_plain_arithmetic(spark):
             "://", "a://b://c/d", "http://h/" + "p" * 5000]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("rule", F.lit("old"))
     labelled = url_filter.default_labels(spark)
+    rows = url_filter.labelled_urls()
+    assert len(dict(rows)) > 1100 and rows == url_filter.labelled_urls() and 0.2 < sum(t for _, t in rows) / len(rows) < 0.3
     out = [r for r in url_filter.filter_urls(pages, labelled).orderBy("page_id").collect()]
     assert [(r["host"], r["path"]) for r in out[:7]] == [("win.casino.example.net", "/poker"), ("docs.example.com", "/fr/a"), ("example.org", "/es/x"), ("a.example.org", "/en/12"), ("badexample.org", "/es/"), ("x.com", "/de/1"), ("x.org", "")]
     assert [(r["host"], r["path"]) for r in out[7:12]] == [("", ""), ("", ""), ("", ""), ("", ""), ("b:", "//c/d")]
     assert [r["rule"] for r in out[:7]] == [None, "com/fr/", "example.org/es/", "example.org/en/1", "org/", "com/de/", None]
     assert [r["verdict"] for r in out[:6]] == ["block", "allow", "block", "block", "allow", "block"]
     # The same descent in numpy, on the features that Spark gives.
+    every = labelled
+    labelled = every.filter(url_filter.split_of(F.col("url")) > 1)
     feats = [(r["label"], r["__f"]) for r in url_filter.with_features(labelled.select("label", *[c.alias(n) for c, n in zip(url_filter.url_parts(F.col("url")), ("h", "p"))]), "h", "p").collect()]
     x = np.zeros((len(feats), url_filter.DIM))
     for i, (_, f) in enumerate(feats):
         x[i, f] = 1 / np.sqrt(len(f))
     y, w, b = np.array([t for t, _ in feats], dtype=float), np.zeros(url_filter.DIM), 0.0
+    q, q_b = np.zeros(url_filter.DIM), 0.0
     for _ in range(url_filter.EPOCHS):
         wrong = y - 1 / (1 + np.exp(-(b + x @ w)))
-        w, b = w + url_filter.RATE * (x.T @ wrong / len(y) - url_filter.DECAY * w), b + url_filter.RATE * wrong.mean()
+        g, g_b = x.T @ wrong / len(y) - url_filter.DECAY * w, wrong.mean()
+        q, q_b = q + g * g, q_b + g_b * g_b
+        w, b = w + url_filter.RATE * g / np.sqrt(q + 1e-12), b + url_filter.RATE * g_b / np.sqrt(q_b + 1e-12)
     got = url_filter.train(labelled)
     assert np.allclose(got[:-1], w) and np.isclose(got[-1], b)
     right = sum((s >= 0.5) == bool(t) for s, t in zip(1 / (1 + np.exp(-(b + x @ w))), y))
     assert right >= 0.95 * len(y)
-    assert url_filter.filter_urls(pages.limit(0), labelled).collect() == []
-    assert {r["score"] for r in url_filter.filter_urls(pages, labelled.limit(0)).collect()} == {0.5}
+    # What the model never saw.
+    fresh = every.filter(url_filter.split_of(F.col("url")) == 1)
+    seen = url_filter.filter_urls(fresh, every, rules=[]).select("label", "verdict").collect()
+    blocked = [r["label"] for r in seen if r["verdict"] == "block"]
+    assert len(seen) > 200 and sum((r["verdict"] == "block") == (r["label"] == 1) for r in seen) >= 0.93 * len(seen)
+    assert sum(blocked) >= 0.97 * len(blocked) and sum(blocked) >= 0.85 * sum(r["label"] for r in seen)
+    assert url_filter.filter_urls(pages.limit(0), every).collect() == []
+    assert {r["score"] for r in url_filter.filter_urls(pages, every.limit(0)).collect()} == {0.5}
 
 
 def test_host_rules_against_plain_code(spark):
