@@ -469,8 +469,11 @@ def _finish(parse: Callable, s: Shape, carry: list[str], keep_text: bool):
     return run
 
 
-def _to_buckets(df: DataFrame) -> DataFrame:
-    return df.select("row", "kind", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
+def _to_buckets(df: DataFrame, spread: bool = False) -> DataFrame:
+    """spread: the time of a bucket doesn't follow its bytes, so partitions are not put together by size."""
+    rows = df.select("row", "kind", "bucket", "blob")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(n, "bucket") if spread else rows.repartition("bucket")).sortWithinPartitions("bucket")
 
 
 def remove_repeats(docs: DataFrame, parse: Callable, s: Shape, order: Callable, carry: list[str], text: str, keep_text: bool) -> DataFrame:
@@ -488,7 +491,7 @@ def remove_repeats(docs: DataFrame, parse: Callable, s: Shape, order: Callable,
     typed = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in at.items())
     met = rows.join(facts, "row").mapInArrow(_meet(parse, s, buckets, list(at.values()), keep_text), f"{typed}{RESULT_SQL}, row long, text string, starts array<long>, kind int, bucket long, blob binary")
     met = materialize(met, "met")
-    found = _to_buckets(met.filter("blob IS NOT NULL")).mapInArrow(_found(s, order), "row long, place long")
+    found = _to_buckets(met.filter("blob IS NOT NULL"), spread=True).mapInArrow(_found(s, order), "row long, place long")
     more = found.groupBy("row").agg(F.collect_list("place").alias("more"))
     waiting = met.filter("starts IS NOT NULL").select(*at.values(), "row", "text", "starts").join(more, "row", "left")
     finished = waiting.mapInArrow(_finish(parse, s, list(at.values()), keep_text), f"{typed}{RESULT_SQL}")
