@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .store import materialize, release
+from .store import materialize, release, small_batches
 from .units import ALNUM, LOWER, Hasher, flat, ranges, slices, words
 
 WINDOW = 10
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of benchmark text that the driver holds and that are searched for in one pass; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
 
@@ -189,6 +189,7 @@ def decontaminate(
     item may be longer). The driver holds one block at a time: each is read, searched for in one pass over the documents, and
     let go of when the pass's findings are written.
     """
+    small_batches(docs.sparkSession)
     new = ["n_words", "n_hit", "spans", "items"] + ["clean_text"] * cut
     at = {c: "__text" if c == text else f"__c{i}" for i, c in enumerate(carry) if c not in new}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in {**at, text: "__text"}.items()])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import packedsteps
 from .components import components
-from .store import materialize
+from .store import materialize, release, small_batches
 from .textsql import word_count
 from .units import LOWER, NOT_BLANK, U, Hasher, by_bucket, flat, mix, ranges, slices, words
 
@@ -157,30 +157,30 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(sig: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Pairs dealt by signature. A blob holds the number of its sets, their 64-bit
-    ids, and for each pair 40 bits of the signature and the set's number."""
+    """Pairs dealt by signature. A blob holds the number of its sets, their 64-bit ids, how many signatures each has there, and 40 bits
+    of each signature. (Two signatures of one set that agree in the 40 bits, of a chance of about 1 in 2 million
+    for a set of 1,000 signatures, would count as one.)"""
     k = (sig >> U(11)) % U(buckets)
-    order = np.argsort(k, kind="stable")
+    order = np.lexsort((ids, k))
     k, sig, ids = k[order], sig[order], ids[order]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
+    low = sig.view(np.uint8).reshape(-1, 8)[:, :5]
     for a, b in zip(at, [*at[1:], len(k)]):
-        names, which = np.unique(ids[a:b], return_inverse=True)
-        wide = 2 if len(names) <= 1 << 16 else 4
-        rows = np.empty((b - a, 5 + wide), dtype=np.uint8)
-        rows[:, :5] = sig[a:b].copy().view(np.uint8).reshape(-1, 8)[:, :5]
-        rows[:, 5:] = which.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :wide]
-        yield int(k[a]), np.array([len(names), wide], dtype=U).tobytes() + names.tobytes() + rows.tobytes()
+        first, count = packedsteps.groups(ids[a:b])
+        yield int(k[a]), np.array([len(first)], dtype=U).tobytes() + ids[a:b][first].tobytes() + count.astype(np.uint32).tobytes() + low[a:b].tobytes()
 
 
-def _unpack(blobs: list[bytes]) -> np.ndarray:
+def _unpack(blobs: list[bytes], part: int, parts: int) -> np.ndarray:
+    """(signature, set) of the signatures in a part of the domain."""
     out = []
     for blob in blobs:
-        n, wide = np.frombuffer(blob, dtype=U, count=2).tolist()
-        names = np.frombuffer(blob, dtype=U, count=n, offset=16)
-        rows = np.frombuffer(blob, dtype=np.uint8, offset=16 + 8 * n).reshape(-1, 5 + wide)
-        sig, which = np.zeros((len(rows), 8), dtype=np.uint8), np.zeros((len(rows), 8), dtype=np.uint8)
-        sig[:, :5], which[:, :wide] = rows[:, :5], rows[:, 5:]
-        out.append(np.stack([sig.view(U).ravel(), names[which.view(np.int64).ravel()]], axis=1))
+        n = int(np.frombuffer(blob, dtype=U, count=1)[0])
+        names = np.repeat(np.frombuffer(blob, dtype=U, count=n, offset=8), np.frombuffer(blob, dtype=np.uint32, count=n, offset=8 + 8 * n))
+        rows = np.frombuffer(blob, dtype=np.uint8, offset=8 + 12 * n).reshape(-1, 5)
+        mine = rows[:, 0] % parts == part
+        sig = np.zeros((np.count_nonzero(mine), 8), dtype=np.uint8)
+        sig[:, :5] = rows[mine]
+        out.append(np.stack([sig.view(U).ravel(), names[mine]], axis=1))
     return np.concatenate(out)
 
 
@@ -240,8 +240,12 @@ def _scan(gram: int, percent: int, buckets: int):
 
 
 def _shared_of(blobs: list[bytes]) -> np.ndarray:
-    """(signature, set) of the signatures in a bucket that two sets or more share."""
-    rows = _unpack(blobs)
+    """(signature, set) of the signatures in a bucket that two sets or more share, found part by part of their domain."""
+    parts = min(64, 1 + (sum(map(len, blobs)) >> 21))
+    return np.concatenate([_shared_in(_unpack(blobs, i, parts)) for i in range(parts)])
+
+
+def _shared_in(rows: np.ndarray) -> np.ndarray:
     order = np.argsort(rows[:, 0])
     s = rows[order, 0]
     same = np.zeros(len(s) + 1, dtype=bool)
@@ -703,6 +707,7 @@ def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int
     Sets are compared by 64-bit hashes of n-grams and known by 64-bit hashes
     while candidates are sought, by 128 bits when rows are put in classes.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -730,6 +735,7 @@ def jaccard_classes(docs: DataFrame, text: Column, doc_id: Column, percent: int
     more = checker.families(pairs, buckets)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
+    release(tried, wanted, texts, checker.small, pairs)
     return _classes(members, roots)
 
 

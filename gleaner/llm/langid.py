@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .units import LETTER, U, Hasher, flat, ranges, slices, words
 from .wordfeatures import later_grams, lowered, word_features
 
@@ -269,6 +270,7 @@ def identify(docs: DataFrame, usable: Column, carry: Sequence[str] = ("doc_id",)
     ASCII; the field runs over a whole text, in windows of 64 words that hand their messages on.
     Equal texts get equal results. Carried columns must not have the names of the new ones. No shuffle but the counts of languages and the drawn texts.
     """
+    small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     field = learn(docs, text, lang, usable, per_language)
     runs = "array<struct<lang:string,words:long>>"

@@ -21,6 +21,7 @@ from .store import materialize
 from .textsql import word_count
 
 SHARD_ROWS = 8192
+#: Sources that are apportioned in the driver.
 MAX_SOURCES = 100_000
 
 
@@ -65,6 +66,46 @@ def fill(sizes: Sequence[int], weights: Sequence[float], cap: float) -> np.ndarr
     return out
 
 
+def _numbered(totals: DataFrame) -> DataFrame:
+    """totals with i, the place of __src in the order of code points, null last: by ranges, none of which is everything."""
+    n = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(totals.repartitionByRange(n, F.col("__src").asc_nulls_last()).withColumn("__part", F.spark_partition_id()), "ranges")
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__part").agg(F.count("*").alias("k")).select("__part", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(F.col("__src").asc_nulls_last())) - 1
+    return rows.withColumn("__in", inside).join(before, "__part").withColumn("i", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
+
+
+def _plan_by_search(totals: DataFrame, weights: Sequence[float], cap: int, block: int) -> DataFrame:
+    """fill() and sainte_lague() for any number of sources: the level of the targets and the divisor are searched for by sums over all sources."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("i") % len(weights)).cast("int") + 1)
+    rows = materialize(_numbered(totals).withColumn("w", w).withColumn("most", F.col("z") * float(cap)), "sources")
+    all_of, level = rows.agg(F.sum("z")).first()[0] or 0, 0.0
+    while True:  # the level rises until no source is above its cap
+        over = F.col("w") * level > F.col("most")
+        capped, free = rows.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        now = (all_of - capped) / free if free else level
+        if now <= level:
+            break
+        level = now
+    rows = rows.withColumn("target", F.least("most", F.col("w") * level))
+    total, least = rows.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    seats = int(round((total or 0) / block))
+    if not seats or not total:
+        return rows.withColumn("seats", F.lit(0).cast("long"))
+    given = lambda scale: F.floor(F.col("target") * scale + 0.5)
+    low, high = 0.0, 2.0 * seats / total + 4.0 / least
+    for _ in range(20):  # sixteen scales at a time
+        steps = [low + (high - low) * k / 17 for k in range(1, 17)]
+        sums = rows.agg(*[F.sum(given(x)).alias(f"s{k}") for k, x in enumerate(steps)]).first()
+        fit = [k for k in range(16) if sums[k] <= seats]
+        low, high = (steps[fit[-1]] if fit else low), (steps[fit[-1] + 1] if fit and fit[-1] < 15 else high if fit else steps[0])
+    rows = materialize(rows.withColumn("q", given(low * (1 - 1e-12))), "seats")
+    rest = seats - rows.agg(F.sum("q")).first()[0]
+    extra = rows.orderBy(F.desc(F.col("target") / (2 * F.col("q") + 1)), "i").limit(int(rest)).select("i", F.lit(1).alias("one"))
+    return rows.join(extra, "i", "left").withColumn("seats", F.col("q") + F.coalesce("one", F.lit(0)))
+
+
 def mix(
     df: DataFrame,
     source: Column,
@@ -84,8 +125,8 @@ def mix(
     repeating. order: identifies a row for the seeded order; rows that tie in
     it and in size are interchangeable, and each counts on its own. size:
     tokens of the row, not null; a row of size 0 takes 0. An empty table gives
-    no rows. At most max_sources sources (checked): their totals alone reach
-    the driver. Everything else is per shard of about shard_rows rows.
+    no rows. Up to max_sources sources are apportioned in the driver, which only their totals reach; of more, the targets' level and
+    the divisor are searched for by sums. Everything else is per shard of about shard_rows rows.
     """
     spark = df.sparkSession
     clash = ["size", "source_size", "target", "taken"]
@@ -94,19 +135,19 @@ def mix(
         source.alias("__src"), size.alias("__size"), F.xxhash64(F.lit(seed), *order).alias("__at"),
     )
     totals = rows.groupBy("__src").agg(F.sum("__size").alias("z"), F.count("*").alias("n"))
-    found = totals.limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"over {max_sources} sources")
-    found.sort(key=lambda r: (r["__src"] is None, r["__src"] or ""))
-    targets = fill([r["z"] for r in found], [weights[i % len(weights)] for i in range(len(found))], cap)
-    seats = sainte_lague(targets, int(round(targets.sum() / block)))
-    plan = spark.createDataFrame(
-        [(r["__src"], i, int(r["z"]), float(t), int(q), -(-r["n"] // shard_rows)) for i, (r, t, q) in enumerate(zip(found, targets, seats))],
-        "__src2 string, __sid int, source_size long, target double, __seats long, __shards long",
-    )
-    placed = rows.join(F.broadcast(plan), F.col("__src").eqNullSafe(F.col("__src2"))).withColumn(
-        "__shard", F.pmod("__at", "__shards")
-    )
+    totals = materialize(totals, "totals")
+    columns = [F.col("__src").alias("__src2"), F.col("i").alias("__sid"), F.col("z").alias("source_size"), "target", F.col("seats").alias("__seats"), F.ceil(F.col("n") / shard_rows).cast("long").alias("__shards")]
+    if totals.count() <= max_sources:
+        found = sorted(totals.collect(), key=lambda r: (r["__src"] is None, r["__src"] or ""))
+        targets = fill([r["z"] for r in found], [weights[i % len(weights)] for i in range(len(found))], cap)
+        seats = sainte_lague(targets, int(round(targets.sum() / block)))
+        plan = spark.createDataFrame(
+            [(r["__src"], i, int(r["z"]), int(r["n"]), float(t), int(q)) for i, (r, t, q) in enumerate(zip(found, targets, seats))], "__src string, i long, z long, n long, target double, seats long"
+        )
+        plan = F.broadcast(plan.select(*columns))
+    else:
+        plan = materialize(_plan_by_search(totals, weights, cap, block).select(*columns), "plan").hint("merge")
+    placed = rows.join(plan, F.col("__src").eqNullSafe(F.col("__src2"))).withColumn("__shard", F.pmod("__at", "__shards"))
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__shard", ignore_index=True)
@@ -119,7 +160,7 @@ def mix(
         placed.groupBy("__sid", "__shard")
         .agg(F.sum("__size").alias("z"), F.first("__seats").alias("seats"))
         .groupBy("__sid")
-        .applyInPandas(quotas, "__sid int, __shard long, __full long, __rest long")
+        .applyInPandas(quotas, "__sid long, __shard long, __full long, __rest long")
     )
     per_shard = materialize(per_shard, "quotas")
     stream = Window.partitionBy("__sid", "__shard").orderBy("__at", *order, "__size")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, small_batches
 from .units import U, ranges, slices
 
 FLUSH = 1 << 19
@@ -480,6 +480,7 @@ def remove_repeats(docs: DataFrame, parse: Callable, s: Shape, order: Callable,
     """The carried columns with those of RESULT_SQL, which replace carried ones of their names, for every row of docs.
 
     order(units, first, windows, length): for each window of some stretches whether it is repeated among them."""
+    small_batches(docs.sparkSession)
     at = {c: f"__c{i}" for i, c in enumerate(carry)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text"))

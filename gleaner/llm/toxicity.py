@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .units import LETTER, Hasher, flat, slices, words
 from .wordfeatures import lowered, word_features
 
@@ -167,6 +168,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, usable: Column, per_clas
     Null and empty texts have no sentence and score 0. A repeated row is scored like the first. A label counts for
     every row of its doc_id; null labels and ids don't count. The model is of fixed size. No shuffle of texts.
     """
+    small_batches(docs.sparkSession)
     model = learn(docs, labels, usable, per_class)
     return docs.select("doc_id", "text").mapInArrow(_score(model, ["doc_id"]), "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
 

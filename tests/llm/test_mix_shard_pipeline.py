@@ -50,6 +50,17 @@ def test_mix(spark):
     assert mixing.mix_documents(df.limit(0)).collect() == []
 
 
+def test_any_number_of_sources(spark):
+    """The search by sums gives what the driver gives."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["s", "ä", "z", "b"]) + str(min(rng.randrange(40), rng.randrange(40))), rng.randrange(0, 300)) for i in range(900)] + [(901, None, 50), (902, "none", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n bigint")
+    one, many = (sorted(map(tuple, mixing.mix(df, F.col("source"), [F.col("doc_id")], F.col("n"), max_sources=m).collect())) for m in (1000, 2))
+    assert [(*x[:5], x[6]) for x in one] == [(*x[:5], x[6]) for x in many]
+    assert np.allclose([x[5] for x in one], [x[5] for x in many])
+    assert mixing.mix(df.limit(0), F.col("source"), [F.col("doc_id")], F.col("n"), max_sources=-1).collect() == []
+
+
 def test_differencing():
     sums, place = sharding.difference(np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]))
     assert sorted(sums.tolist()) == [14, 16]  # the method's own answer for this list
