@@ -68,16 +68,28 @@ def report_order(counted: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame
 def problems(paths: DataFrame, labelled: DataFrame, most: int = MAX_PER_LABEL, least: int = MIN_LABELS, topics: Sequence[str] = TOPICS) -> DataFrame:
     """(path, rule, problem) of documents. A document without labels has that problem alone, told with its full path; others are
     told with their folder's name."""
-    folder = base_name(F.regexp_replace("path", "/[^/]*$", ""))
-    none = paths.select("path").distinct().join(labelled.select("path").distinct(), "path", "left_anti")
-    none = none.select("path", F.lit("no_labels").alias("rule"), F.concat("path", F.lit(": no labelled bullets found")).alias("problem"))
     n = frequency(labelled)
-    tell = lambda rule, *parts: ("path", F.lit(rule).alias("rule"), F.concat(folder, F.lit(": "), *parts).alias("problem"))
-    over = n.filter(F.col("n") > most).select(*tell("over_limit", F.lit("'"), F.col("label"), F.lit("' appears "), F.col("n").cast("string"), F.lit(f" times, limit is {most}")))
-    per = n.groupBy("path").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(F.when(is_topic(F.col("label"), topics), F.col("label")))).alias("topics"))
-    few = per.filter(F.col("k") < least).select(*tell("too_few", F.lit("only "), F.col("k").cast("string"), F.lit(f" distinct projects, minimum is {least}")))
-    topic = per.filter(F.size("topics") > 0).select(*tell("topics", F.lit("topic labels, not project names: "), F.array_join("topics", ", ")))
-    return none.unionByName(over).unionByName(few).unionByName(topic)
+    over = F.when(F.col("n") > most, F.struct("label", "n"))
+    topic = F.when(is_topic(F.col("label"), topics), F.col("label"))
+    per = n.groupBy("path").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(over)).alias("over"), F.array_sort(F.collect_list(topic)).alias("topics"))
+    each = paths.select("path").distinct().join(per, "path", "full")
+    folder = base_name(F.regexp_replace("path", "/[^/]*$", ""))
+    # The wordings of the problems.
+    tell = lambda rule, *parts: F.struct(F.lit(rule).alias("rule"), F.concat(*parts).alias("problem"))
+    started = lambda rule, *parts: tell(rule, folder, F.lit(": "), *parts)
+    found = F.when(F.col("k").isNull(), F.array(tell("no_labels", F.col("path"), F.lit(": no labelled bullets found")))).otherwise(
+        F.concat(
+            F.transform("over", lambda x: started("over_limit", F.lit("'"), x["label"], F.lit("' appears "), x["n"].cast("string"), F.lit(f" times, limit is {most}"))),
+            F.filter(
+                F.array(
+                    F.when(F.col("k") < least, started("too_few", F.lit("only "), F.col("k").cast("string"), F.lit(f" distinct projects, minimum is {least}"))),
+                    F.when(F.size("topics") > 0, started("topics", F.lit("topic labels, not project names: "), F.array_join("topics", ", "))),
+                ),
+                lambda x: x.isNotNull(),
+            ),
+        )
+    )
+    return each.select("path", F.explode(found).alias("f")).select("path", "f.rule", "f.problem")
 
 
 def missing_paths(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -36,9 +36,16 @@ def before_stop(rows: DataFrame, stop: Column, order: str, by: Sequence[str]) ->
     return rows.join(at, list(by)).filter(F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))).drop("__stop")
 
 
-def running_total(rows: DataFrame, value: str, order: str, by: Sequence[str], name: str = "running") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.sum(value).over(w))
+def running_total(rows: DataFrame, value: str, order: str, by: Sequence[str], name: str = "running", chunk: Column | None = None) -> DataFrame:
+    """Sum of value so far, within by. chunk: a coarser order (a month for days); then no task holds more than one
+    chunk's rows, or one row for each chunk."""
+    if chunk is None:
+        return rows.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = rows.withColumn("__chunk", chunk)
+    inside = Window.partitionBy(*by, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "__chunk").agg(F.sum(value).alias("__sum")).select(*by, "__chunk", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    return cut.withColumn("__in", F.sum(value).over(inside)).join(sums, [*by, "__chunk"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__chunk", "__in", "__before")
 
 
 def shown_status(now_ms: Column, last_live_ms: Column, stored: Column, live: Column) -> Column:

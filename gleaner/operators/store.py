@@ -7,7 +7,7 @@ is never overwritten while it is read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +68,14 @@ def envelope(store: DataFrame, at: Column) -> DataFrame:
     return store.orderBy("first_seq").select(F.to_json(F.struct(*names)).alias("job"), at.cast("string").alias("exported_at"))
 
 
+def whole_envelope(store: DataFrame, at: Column) -> DataFrame:
+    """The export as one row: `{exported_at, count, jobs}` as JSON, jobs in first-seen order. One row holds all postings, as whoever asks for
+    it wants one text; write_export gives a store of any size in parts."""
+    job = F.struct(*FIELDS, "description")
+    one = store.agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("first_seq", "key", job.alias("job")))).alias("j"))
+    return one.select(F.to_json(F.struct(at.cast("string").alias("exported_at"), "count", F.transform("j", lambda x: x["job"]).alias("jobs"))).alias("envelope"))
+
+
 def write_export(store: DataFrame, path: str, at: str) -> None:
     """The export as a folder: postings in parts of JSON lines, in first-seen order, and a head with time and
     number. No row holds all postings."""
@@ -77,40 +85,76 @@ def write_export(store: DataFrame, path: str, at: str) -> None:
 
 
 class Snapshots:
-    """A table in a folder that any number of readers and one writer share."""
+    """A table in a folder that any number of readers and one writer share.
+
+    key, buckets: rows are kept in so many parts by a hash of their key, and an update rewrites the parts that it
+    touches. The pointer names each part's folder, and is written last."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = None, buckets: int = 1):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets if key else 1
 
     def _pointers(self) -> DataFrame:
-        return self.spark.read.schema("version long, folder string").json(f"{self.path}/pointer")
+        return self.spark.read.schema("version long, bucket int, folder string").json(f"{self.path}/pointer")
 
-    def _exists(self, folder: str) -> bool:
+    def _fs(self, folder: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self) -> tuple[int, str | None]:
+    def _exists(self, folder: str) -> bool:
+        fs, p = self._fs(folder)
+        return fs.exists(p)
+
+    def _current(self) -> tuple[int, dict[int, str]]:
+        """The version and the folders of its parts."""
         if not self._exists(f"{self.path}/pointer"):
-            return 0, None
-        last = self._pointers().orderBy(F.desc("version")).first()
-        return (last["version"], last["folder"]) if last else (0, None)
-
-    def read(self) -> DataFrame:
-        """The current snapshot; no rows before the first."""
-        _, folder = self._current()
-        if folder is None:
+            return 0, {}
+        all_of = self._pointers()
+        last = all_of.agg(F.max("version")).first()[0]
+        rows = all_of.filter(F.col("version") == last).collect() if last else []
+        return last or 0, {r["bucket"]: r["folder"] for r in rows if r["folder"]}
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The current snapshot, or some parts of it; no rows before the first."""
+        _, folders = self._current()
+        wanted = [f for b, f in sorted(folders.items()) if buckets is None or b in buckets]
+        if not wanted:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in wanted])
+
+    def _write(self, df: DataFrame, version: int, kept: dict[int, str]) -> None:
+        columns = self.spark.createDataFrame([], self.schema).columns
+        folder = f"snapshot-{version}-{uuid.uuid4().hex[:8]}"
+        part = self.bucket(F.col(self.key)) if self.buckets > 1 else F.lit(0)
+        rows = df.select(*columns, part.alias("part"))
+        (rows.repartition("part") if self.buckets > 1 else rows).write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        fs, p = self._fs(f"{self.path}/{folder}")
+        made = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()]
+        found = kept | {int(n.partition("=")[2]): f"{folder}/{n}" for n in made if n.startswith("part=")}
+        lines = [(version, b, f) for b, f in sorted(found.items())] or [(version, None, None)]
+        self.spark.createDataFrame(lines, "version long, bucket int, folder string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
 
     def replace(self, df: DataFrame) -> None:
         """Write df, which may be built from read(), as the next snapshot. Earlier ones stay as archives."""
-        version, _ = self._current()
-        folder = f"snapshot-{version + 1}-{uuid.uuid4().hex[:8]}"
-        df.select(*self.read().columns).write.parquet(f"{self.path}/{folder}")
-        self.spark.createDataFrame([(version + 1, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
+        self._write(df, self._current()[0] + 1, {})
+
+    def update(self, keys: DataFrame, build: Callable[[DataFrame], DataFrame]) -> None:
+        """Write build(rows) in place of the rows of all parts that hold one of the keys; the other parts stay as they are. At most as
+        many numbers as there are parts reach the driver."""
+        version, folders = self._current()
+        touched = {r[0] for r in keys.select(self.bucket(F.col(self.key)) if self.buckets > 1 else F.lit(0)).distinct().collect()}
+        self._write(build(self.read(sorted(touched))), version + 1, {b: f for b, f in folders.items() if b not in touched})
 
     def reset(self) -> int:
         """Empty the table; what was there stays archived. Returns how many rows that were."""
         n = self.read().count()
         self.replace(self.spark.createDataFrame([], self.schema))
         return n
+
+
+def upsert_batch(store: Snapshots, sightings: DataFrame) -> None:
+    """Upsert sightings into a store of postings by key."""
+    keyed = sightings.select(store_key(F.col("url")).alias("key")).filter("key <> ''")
+    store.update(keyed, lambda rows: upsert(rows, sightings))

@@ -21,7 +21,9 @@ def collect_pages(pages: DataFrame, details: DataFrame | None = None) -> DataFra
         return collect.with_constants(cards, F.col("source"), F.col("query"))
     key = keys.page_key(F.col("url"))
     wanted = details.withColumn("__key", key).join(cards.select(key.alias("__key")).distinct(), "__key", "left_semi")
-    read = html.scan_details(wanted.drop("__key")).groupBy(key.alias("__key")).agg(F.max("description").alias("description"))
+    # Of several details of a posting the longest text, then one by a hash of its address.
+    best = F.struct(F.length("description"), F.expr("-xxhash64(url)"), F.col("description"))
+    read = html.scan_details(wanted.drop("__key")).groupBy(key.alias("__key")).agg(F.max(best)["description"].alias("description"))
     joined = cards.withColumn("__key", key).join(read, "__key", "left").drop("__key")
     return collect.with_constants(joined, F.col("source"), F.col("query"), F.col("description"))
 
@@ -32,20 +34,28 @@ class Service:
 
     spark: SparkSession
     path: str
+    buckets: int = 16
 
     def __post_init__(self):
-        self.postings = store.Snapshots(self.spark, f"{self.path}/postings", schema.POSTING)
+        self.postings = store.Snapshots(self.spark, f"{self.path}/postings", schema.POSTING, "key", self.buckets)
         self.applied_list = store.Snapshots(self.spark, f"{self.path}/applied", schema.APPLIED)
         self.built_index = store.Snapshots(self.spark, f"{self.path}/built", schema.BUILT)
+        self.last_push = store.Snapshots(self.spark, f"{self.path}/last_push", schema.LAST_PUSH)
+        self.searches = store.Snapshots(self.spark, f"{self.path}/searches", schema.SAVED_SEARCH)
 
     def push(self, sightings: DataFrame) -> dict:
         """Upsert; nothing happens without rows."""
         if sightings.isEmpty():
             return {"ok": True, "added": 0}
         n = store.added(self.postings.read(), sightings, keys.store_key(F.col("url"))).count()
-        self.postings.replace(store.upsert(self.postings.read(), sightings))
+        store.upsert_batch(self.postings, sightings)
+        self.last_push.replace(sightings.agg(F.max("seq").alias("seq"), F.count("*").alias("sent"), F.lit(n).cast("bigint").alias("added")))
         return {"ok": True, "added": n, **store.totals(self.postings.read()).first().asDict()}
 
+    def save_search(self, search: DataFrame) -> None:
+        """Keep one search (of the saved search's schema) in place of the one before."""
+        self.searches.replace(search.limit(1))
+
     def applied(self, urls: DataFrame) -> dict:
         listed, n = store.insert_applied(self.applied_list.read(), urls)
         added = n.first()["added"]
@@ -57,14 +67,25 @@ class Service:
     def built(self) -> DataFrame:
         return self.built_index.read()
 
-    def status(self) -> DataFrame:
-        """One row of the status schema; what is not known is null."""
+    def status(self, day_begins: int | None = None) -> DataFrame:
+        """One row of the status schema. day_begins: the first seq of today; without it, what was collected today is null. The latest report is the one of
+        the last date under `reports`; matches are postings not applied to."""
         latest = self.built().agg(F.count("*").alias("built"), F.max("date").alias("latest_batch"))
+        now = self.postings.read()
+        today = None if day_begins is None else now.filter(F.col("first_seq") >= day_begins).count()
+        applied = self.applied_list.read()
+        matches = store.not_applied(now, applied).count() if now.take(1) else None
         return latest.select(
-            F.lit(self.applied_list.read().count()).alias("applied"), F.lit(None).cast("bigint").alias("collected_today"), "built", "latest_batch",
-            F.lit(None).cast("string").alias("latest_report"), F.lit(None).cast("struct<matches:bigint>").alias("last_rank"),
+            F.lit(applied.count()).alias("applied"), F.lit(today).cast("bigint").alias("collected_today"), "built", "latest_batch",
+            F.lit(self._latest_report()).cast("string").alias("latest_report"), F.when(F.lit(matches is not None), F.struct(F.lit(matches).cast("bigint").alias("matches"))).alias("last_rank"),
         )
 
+    def _latest_report(self) -> str | None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/reports")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return max(names, default=None)
+
     def reset(self) -> dict:
         """Empties the postings, which stay archived; the applied list is not touched."""
         return {"ok": True, "archived": self.postings.reset()}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import keys, searchurl, text
@@ -512,24 +512,18 @@ def search_numbers(t):
 
 # Runs.
 @query("""SELECT event_id, coalesce(s > 0 AND n - s <= 1200000, false) AND r > 0 AS resumable, 5 - r + 1 AS page_no FROM (SELECT event_id, epoch_ms(ts) AS n,
-CASE WHEN event_id % 10 = 0 THEN 0 ELSE epoch_ms(lag(ts) OVER (ORDER BY event_id)) END AS s, event_id % 4 AS r FROM events)""")
+CASE WHEN event_id % 10 = 0 THEN 0 ELSE epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id)) END AS s, event_id % 4 AS r FROM events)""")
 def stale_runs(t):
     n = F.unix_millis(F.col("ts").cast("timestamp"))
-    before = F.when(F.col("event_id") % 10 == 0, F.lit(0).cast("bigint")).otherwise(F.lag(n).over(_by_event()))
+    before = F.when(F.col("event_id") % 10 == 0, F.lit(0).cast("bigint")).otherwise(F.lag(n).over(Window.partitionBy("user_id").orderBy("event_id")))
     rows = t("events").select("event_id", n.alias("n"), before.alias("s"), (F.col("event_id") % 4).alias("r"))
     return rows.select("event_id", run.resumable(F.col("n"), F.col("s"), F.col("r")).alias("resumable"), run.page_number(F.lit(5), F.col("r")).cast("bigint").alias("page_no"))
 
 
-def _by_event():
-    from pyspark.sql import Window
-
-    return Window.orderBy("event_id")
-
-
 @query("""SELECT day, n, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS running FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)""")
 def running_new(t):
     days = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return run.running_total(days, "n", "day", [])
+    return run.running_total(days, "n", "day", [], chunk=F.trunc("day", "month"))
 
 
 @query("""SELECT user_id, count(*) AS kept FROM (SELECT user_id, event_id, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events)
@@ -635,18 +629,32 @@ def built_flag(t):
     return batch.built_flag(t("pages"), built, key).select("page_id", text.built_text(F.col("built_date"), F.col("built_rank")).alias("flag"))
 
 
-@query(f"SELECT date, CAST(count(*) AS BIGINT) AS cards FROM ({_ROLE}) GROUP BY date")
+_CARD = """concat('<article class="card" data-url="', url, '" data-search="', haystack, '"><span class="rank">', rank, '</span>',
+CASE WHEN url <> '' THEN concat('<a class="title" href="', url, '">', title, '</a>') ELSE concat('<span class="title">', title, '</span>') END, '<span class="org">', coalesce(company, ''), ' · ', coalesce(replace(location, '&', '&amp;'), ''),
+'</span><p class="why">', CASE WHEN why = '' THEN 'no rationale recorded' ELSE why END, '</p>', CASE n_flags WHEN 0 THEN '' WHEN 1 THEN '<ul class="flags"><li>a flag</li></ul>' ELSE '<ul class="flags"><li>a flag</li><li>B</li></ul>' END,
+'<div class="files"><a href="out/', pos, '.pdf" download="', pos, '.pdf">CV</a>', CASE WHEN url <> '' THEN concat('<a href="', url, '">posting</a>') ELSE '' END, '</div></article>')"""
+_HAYSTACK = "replace(lower(concat_ws(' ', title, coalesce(company, 'None'), coalesce(location, 'None'), why, CASE n_flags WHEN 0 THEN '' WHEN 1 THEN 'a flag' ELSE 'a flag B' END)), '&', '&amp;')"
+_GONE = "concat('<tr><td>', coalesce(company, ''), '</td><td>', title, '</td><td>far</td></tr>')"
+
+
+@query(f"""SELECT date, md5(concat('<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>Batch ', date, '</title></head><body><h1>Batch ', date, '</h1><p>', n, ' built', CASE WHEN n % 2 = 1 THEN ' from a pool of 1' ELSE '' END, '</p>\n', cards,
+CASE WHEN n_gone > 0 THEN concat('<h2>Not built</h2><p>', n_gone, ' considered and left out</p><table>', gone, '</table>') ELSE '' END, '</body></html>\n')) AS html, n AS cards
+FROM (SELECT date, count(*) AS n, count(*) FILTER (WHERE pos % 10 = 0) AS n_gone, string_agg({_CARD}, '\n' ORDER BY pos) AS cards, string_agg(CASE WHEN pos % 10 = 0 THEN {_GONE} END, '\n' ORDER BY pos) AS gone
+FROM (SELECT *, {_HAYSTACK} AS haystack FROM ({_ROLE})) GROUP BY date)""")
 def batch_report(t):
     pages = batch.report(_batches(t))
-    return pages.select("date", long(F.size(F.split("html", '<article class="card"', -1)) - 1).alias("cards"))
+    return pages.select("date", F.md5("html").alias("html"), long(F.size(F.split("html", '<article class="card"', -1)) - 1).alias("cards"))
 
 
 # Layouts and files.
-@query(f"SELECT c AS path, style, count(*) AS n FROM (SELECT CAST(c AS VARCHAR) AS c, unnest(CASE type WHEN 'skills' THEN ['section', 'rule'] ELSE ['section', 'rule', 'role', 'meta', 'bullet', 'bullet'] END) AS style FROM ({_CV}) UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), unnest(['name', 'rule']) FROM orders) GROUP BY c, style")
+@query(f"""SELECT path, row_number() OVER (PARTITION BY path ORDER BY k, i) - 1 AS ord, style, text FROM (
+SELECT CAST(c AS VARCHAR) AS path, k, unnest(range(0, CASE type WHEN 'skills' THEN 2 ELSE 6 END)) AS i, unnest(CASE type WHEN 'skills' THEN ['section', 'rule'] ELSE ['section', 'rule', 'role', 'meta', 'bullet', 'bullet'] END) AS style,
+unnest(CASE type WHEN 'skills' THEN [concat('TITLE ', k), ''] ELSE [concat('TITLE ', k), '', 'r', 'm', concat('<b>A:</b> ', k), concat('b ', k)] END) AS text FROM ({_CV})
+UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), -1, unnest([0, 1]), unnest(['name', 'rule']), unnest(['N', '']) FROM orders)""")
 def cv_layout(t):
     section = F.transform("sections", lambda s: F.struct(s["type"].alias("type"), s["title"].alias("title"), F.when(s["type"] != "skills", s["items"]).alias("items"), F.lit(None).cast("array<struct<label:string,value:string>>").alias("skills")))
     cvs = _cvs(t).select("path", F.lit("N").alias("name"), F.lit("").alias("tagline"), F.array().cast("array<string>").alias("contact"), F.lit(None).cast("string").alias("summary"), section.alias("sections"))
-    return layout.cv(cvs).groupBy("path", "style").agg(F.count("*").alias("n"))
+    return layout.cv(cvs).select("path", long(F.col("ord")).alias("ord"), "style", "text")
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS path, unnest(range(0, 11)) AS ord, unnest(['name', 'meta', 'meta', 'meta', 'subject', 'body', 'body', 'body', 'body', 'body', 'body']) AS style,
@@ -672,20 +680,10 @@ def layout_texts(t):
     return t("part").select("p_partkey", layout.heading(F.col("p_name"), org).alias("heading"), layout.skill(F.col("p_brand"), F.col("p_type")).alias("skill"), F.upper("p_type").alias("section"))
 
 
-@query("""SELECT doc_id, md5(CASE WHEN len(trim(a)) > 300 THEN trim(a) WHEN len(trim(b)) > 300 THEN trim(b) ELSE '' END) AS detail, len(trim(a)) AS pane, len(trim(a)) > 200 AS ready
-FROM (SELECT doc_id, left(replace(text, chr(10), ' '), 150 + CAST(doc_id % 300 AS INT)) AS a, left(replace(text, chr(10), ' '), 500) AS b FROM documents)""")
-def detail_pick(t):
-    flat = F.replace("text", F.lit("\n"), F.lit(" "))
-    rows = t("documents").select("doc_id", F.left(flat, (150 + F.col("doc_id") % 300).cast("int")).alias("a"), F.left(flat, F.lit(500)).alias("b"))
-    return rows.select(
-        "doc_id", F.md5(collect.detail_text(F.col("a"), F.col("b"))).alias("detail"), long(F.length(collect.pane_text(F.col("a")))).alias("pane"), collect.pane_ready(F.col("a")).alias("ready")
-    )
-
-
 # Whole texts: one candidate in three is empty, one has newlines in rows and white space at its ends.
 @query("""SELECT doc_id, md5(CASE WHEN len(a) > 300 THEN regexp_replace(a, '\\n{3,}', chr(10) || chr(10), 'g') WHEN len(text) > 300 THEN regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') ELSE '' END) AS detail,
 len(a) AS pane, len(a) > 200 AS ready FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN text ELSE concat(text, repeat(chr(10), 4), text) END AS a FROM documents)""")
-def detail_pick_whole(t):
+def detail_pick(t):
     k = F.col("doc_id") % 3
     gap = F.lit("\n\n\n\n")
     rows = t("documents").select("doc_id", F.when(k == 0, "").when(k == 1, F.col("text")).otherwise(F.concat(gap, "text", gap, "text", F.lit(" \t"))).alias("a"), F.col("text").alias("b"))
@@ -694,6 +692,9 @@ def detail_pick_whole(t):
     )
 
 
+QUERIES["detail_pick_whole"] = QUERIES["detail_pick"]
+
+
 # Captured pages of the three sites, made from parts.
 _INDEED = """concat('<html><body><div class="job_seen_beacon"><h2 class="jobTitle"><a data-jk="', p_partkey, '" href="', CASE WHEN p_partkey % 2 = 0 THEN concat('/rc/clk?jk=', p_partkey) ELSE '' END, '"></a>', p_name,
 '</h2><span data-testid="company-name">', p_brand, ' &amp; Co</span></div><div class="job_seen_beacon">no link</div></body></html>')"""
@@ -714,17 +715,18 @@ def scan_cards(t):
     return collect.collect_cards(cards, ["p_partkey"]).select("p_partkey", "title", "company", "location", "url", "source", "query")
 
 
-_DETAIL = """concat('<html><head><style>p{}</style></head><body><script>x()</script><main>', replace(text, '<', ' '), '</main><div data-at="job-ad-content">', left(replace(replace(text, '<', ' '), '&', ' '), 290), '</div></body></html>')"""
+_CLEAN = "replace(replace(text, '<', ' '), '&', ' ')"
+_LINES = rf"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
-@query("SELECT doc_id, n_chars > 300 AS long FROM documents WHERE doc_id % 5 <> 6")
+# The whole text is in the last candidate; the first is too short on all pages, the second on two in three.
+@query(rf"""SELECT doc_id, CAST(len(d) AS BIGINT) AS n, md5(d) AS description FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('second ', repeat('x', 300)) WHEN len(x) > 300 THEN x ELSE '' END AS d
+FROM (SELECT doc_id, regexp_replace({_LINES}, '^\s+|\s+$', '', 'g') AS x FROM documents))""")
 def scan_details(t):
-    rows = t("documents").select("doc_id", F.lit("https://www.stepstone.de/stellenangebote--x").alias("url"), F.expr(_DETAIL).alias("html"), "n_chars")
-    return html.scan_details(rows).select("doc_id", (F.col("description") != "").alias("long"))
-
-
-_CLEAN = "replace(replace(text, '<', ' '), '&', ' ')"
-_LINES = rf"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    second = "CASE WHEN doc_id % 3 = 0 THEN repeat('x', 300) ELSE '' END"
+    page = F.expr(f"concat('<html><head><style>p</style></head><body><script>x()</script><div data-at=\"job-ad-content\">first ', doc_id, '</div><p class=\"a job-ad-display\">second ', {second}, '</p><main>', {_CLEAN}, '</main></body></html>')")
+    rows = t("documents").select("doc_id", F.lit("https://www.stepstone.de/stellenangebote--x").alias("url"), page.alias("html"))
+    return html.scan_details(rows).select("doc_id", long(F.length("description")).alias("n"), F.md5("description").alias("description"))
 
 
 @query(rf"""SELECT doc_id, CAST(len(d) AS BIGINT) AS n, md5(d) AS description

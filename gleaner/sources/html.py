@@ -8,8 +8,10 @@ layout: hidden elements count, and a block element ends a line.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -91,13 +93,8 @@ class Node:
     attributes: dict[str, str]
     parent: "Node | None" = None
     children: list = field(default_factory=list)
-
-    def walk(self) -> Iterator["Node"]:
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    at: int = 0  # number in document order, and the first one behind its descendants
+    end: int = 0
 
     def text(self) -> str:
         out: list[str] = []
@@ -144,17 +141,52 @@ class _Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def parse(html: str) -> Node:
-    t = _Tree()
-    t.feed(html)
-    t.close()
-    return t.root
+class Page:
+    """The nodes of a page in document order, and what each selector fits among them: each is looked for once."""
+
+    def __init__(self, html: str):
+        t = _Tree()
+        t.feed(html)
+        t.close()
+        self.root, self.nodes, self.found = t.root, [], {}
+        stack: list[tuple[Node, bool]] = [(t.root, True)]
+        while stack:
+            n, opens = stack.pop()
+            if not opens:
+                n.end = len(self.nodes)
+                continue
+            n.at = len(self.nodes)
+            self.nodes.append(n)
+            stack.append((n, False))
+            stack.extend((c, True) for c in reversed(n.children) if isinstance(c, Node))
+
+    def fits(self, selector: str) -> list[int]:
+        """Numbers of the nodes that the selector fits."""
+        if selector not in self.found:
+            compounds = _compile(selector)
+            self.found[selector] = [n.at for n in self.nodes if _matches(n, compounds)]
+        return self.found[selector]
+
+    def select(self, selectors: Sequence[str]) -> list[Node]:
+        """All that any of the selectors fits, in document order, each once."""
+        return [self.nodes[i] for i in sorted({i for s in selectors for i in self.fits(s)})]
+
+    def first(self, selectors: Sequence[str], root: Node | None = None) -> Node | None:
+        """What the first selector that fits anything below root finds first."""
+        root = root or self.root
+        for s in selectors:
+            found = self.fits(s)
+            i = bisect_right(found, root.at)
+            if i < len(found) and found[i] < root.end:
+                return self.nodes[found[i]]
+        return None
 
 
 _COMPOUND = re.compile(r"(?:\[[^\]]*\]|[^\s\[])+")
 _PART = re.compile(r"([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:(\*?=)'([^']*)')?\]")
 
 
+@lru_cache(maxsize=None)
 def _compile(selector: str):
     """A selector of compounds (tag, .class, #id, [name], [name='x'], [name*='x']) with blanks for descent."""
     return [[m.groups() for m in _PART.finditer(compound)] for compound in _COMPOUND.findall(selector)]
@@ -182,46 +214,30 @@ def _matches(n: Node, compounds) -> bool:
     return not rest
 
 
-def select(root: Node, selectors) -> list[Node]:
-    """All that any of the selectors fits, in document order, each once."""
-    compiled = [_compile(s) for s in selectors]
-    return [n for n in root.walk() if n is not root and any(_matches(n, c) for c in compiled)]
-
-
-def first(root: Node, selectors) -> Node | None:
-    """What the first selector that fits anything finds first."""
-    for s in selectors:
-        c = _compile(s)
-        for n in root.walk():
-            if n is not root and _matches(n, c):
-                return n
-    return None
-
-
 _CARD = pa.struct([(c, pa.string()) for c in ("href", "id", "link_text")] + [(c, pa.list_(pa.string())) for c in ("title", "company", "location")])
 _FOUND = [("cards", pa.list_(_CARD)), ("pane", pa.string()), ("details", pa.list_(pa.string())), ("has_next", pa.bool_())]
 _CARD_SQL = "array<struct<href:string,id:string,link_text:string,title:array<string>,company:array<string>,location:array<string>>>"
 
 
-def _texts(card: Node, selectors) -> list[str]:
-    return [n.text() if (n := first(card, (s,))) is not None else "" for s in selectors]
+def _texts(page: Page, root: Node, selectors) -> list[str]:
+    return [n.text() if (n := page.first((s,), root)) is not None else "" for s in selectors]
 
 
 def read_page(site: Site | None, html: str | None) -> tuple:
     """(cards, pane, detail candidates, whether there is a next page) of one page."""
     if site is None or not html:
         return [], None, [], False
-    root = parse(html)
+    page = Page(html)
     cards = []
-    for card in select(root, site.cards):
-        a = first(card, site.link)
+    for card in page.select(site.cards):
+        a = page.first(site.link, card)
         if a is not None:
             cards.append(
                 {"href": a.attributes.get("href", ""), "id": a.attributes.get(site.id_attribute, ""), "link_text": a.text()}
-                | {c: _texts(card, getattr(site, c)) for c in ("title", "company", "location")}
+                | {c: _texts(page, card, getattr(site, c)) for c in ("title", "company", "location")}
             )
-    pane = first(root, site.pane)
-    return cards, pane.text() if pane is not None else None, _texts(root, site.detail), first(root, site.next) is not None
+    pane = page.first(site.pane)
+    return cards, pane.text() if pane is not None else None, _texts(page, page.root, site.detail), page.first(site.next) is not None
 
 
 def _reader(sites: dict[str, Site]):
@@ -270,6 +286,12 @@ def scan_cards(pages: DataFrame, sites: dict[str, Site] = SITES) -> DataFrame:
     )
 
 
+def next_pages(pages: DataFrame, sites: dict[str, Site] = SITES) -> DataFrame:
+    """(page's columns without html, site, n_cards, has_next): whether a page leads on to another."""
+    kept = [c for c in pages.columns if c != "html"]
+    return read_pages(pages, sites).select(*kept, "site", F.size("cards").alias("n_cards"), "has_next")
+
+
 def scan_details(pages: DataFrame, sites: dict[str, Site] = SITES) -> DataFrame:
     """(page's columns without html, description): the first candidate text that is long enough, on sites with detail pages;
     elsewhere the pane's text."""

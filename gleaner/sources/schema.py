@@ -17,6 +17,7 @@ MARK_EVENT = "batch_date string, url string, kind string, checked boolean, seq b
 APPLIED = "url string, first_seq bigint"
 SAVED_SEARCH = "kw string, loc string, radius int, site string, posted int, remote boolean"
 STATUS = "applied bigint, collected_today bigint, built bigint, latest_batch string, latest_report string, last_rank struct<matches:bigint>"
+LAST_PUSH = "seq bigint, sent bigint, added bigint"
 BUILT = "key string, date string, rank int, company string"
 ROLES = "array<struct<rank:int,company:string,title:string,location:string,url:string,why:string,flags:array<string>,files:array<struct<label:string,path:string>>>>"
 DROPPED = "array<struct<company:string,title:string,reason:string>>"

@@ -14,8 +14,12 @@ from gleaner.sources import schema
 TRIGGER = "1500 milliseconds"
 
 
-def postings_store(spark: SparkSession, path: str) -> S.Snapshots:
-    return S.Snapshots(spark, path, schema.POSTING)
+#: Parts of the store; a batch rewrites those that its keys fall in.
+BUCKETS = 64
+
+
+def postings_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> S.Snapshots:
+    return S.Snapshots(spark, path, schema.POSTING, "key", buckets)
 
 
 def ingest_batch(store: S.Snapshots, sightings: DataFrame) -> None:
@@ -25,7 +29,7 @@ def ingest_batch(store: S.Snapshots, sightings: DataFrame) -> None:
     """
     if sightings.isEmpty():
         return
-    store.replace(S.upsert(store.read(), sightings))
+    S.upsert_batch(store, sightings)
 
 
 def ingest(sightings: DataFrame, store: S.Snapshots, checkpoint: str, once: bool = False) -> StreamingQuery:

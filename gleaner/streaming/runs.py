@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleaner.operators.run import MAX_AGE_MS
@@ -26,6 +27,11 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     def tell(status: str, page: int = 0, added: int = 0) -> None:
         rows.append((key[0], page, added, collected, status))
 
+    if state.hasTimedOut:
+        tell("expired")
+        state.remove()
+        yield pd.DataFrame(rows, columns=["run_id", "page_no", "added", "collected", "status"])
+        return
     for e in pd.concat(list(batches)).sort_values("seq").itertuples():
         if e.kind == "start":
             if remaining > 0 and e.at_ms - started <= MAX_AGE_MS:
@@ -50,11 +56,14 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             tell("done" if remaining == 0 else "page", page, int(e.added))
     if remaining > 0:
         state.update((total, remaining, collected, started))
+        state.setTimeoutTimestamp(max(started + MAX_AGE_MS, state.getCurrentWatermarkMs() + 1))
     elif state.exists:
         state.remove()
     yield pd.DataFrame(rows, columns=["run_id", "page_no", "added", "collected", "status"])
 
 
 def follow(events: DataFrame) -> DataFrame:
-    """events: run_id, seq, kind, total, added, has_next, at_ms."""
-    return events.groupBy("run_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    """events: run_id, seq, kind, total, added, has_next, at_ms. A run that is left alone is told as expired, and its state goes, when the events of
+    all runs are a run's greatest age (and the watermark's delay, as long again) beyond its start. Later events are dropped."""
+    timed = events.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", f"{MAX_AGE_MS} milliseconds")
+    return timed.groupBy("run_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -19,6 +19,7 @@ def duck():
 
 
 def names():
+    from gleaner.plans import captures, screening  # noqa: F401
     from gleaner.plans.registry import QUERIES
 
     return sorted(QUERIES)

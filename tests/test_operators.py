@@ -186,3 +186,29 @@ def test_dedupe_comes_before_the_python_reader(spark):
     details = spark.createDataFrame([("https://www.linkedin.com/jobs/view/1", "<div id='job-details'>All of it</div>"), ("https://www.linkedin.com/jobs/view/9/", "<div id='job-details'>Other</div>")], "url string, html string")
     got = collect_pages(pages, details)
     assert rows(got, "title", "description") == [("Dev Lead", "All of it")]
+
+
+def test_postings_are_screened_with_evidence(spark):
+    from gleaner.operators import screen
+
+    rows = [
+        (1, "Data engineer", "We like data. You must speak German fluently! Python."),
+        (2, "Data engineer", "German is a plus.\nFluent German, nice to have. Python, 3 years"),
+        (3, "Head of data", "python"),
+        (4, "Cook", "Soup."),
+        (5, None, None),
+        (6, "Python", "10+ years and 2 Jahre. senior"),
+    ]
+    out = {r["id"]: r for r in screen.screen(spark.createDataFrame(rows, "id int, title string, description string"), {"python": 2.0, "data": 1.0}, 2.0).withColumn("line", screen.audit_line(F.col("id"))).collect()}
+    assert [out[i]["verdict"] for i in range(1, 7)] == ["language", "passed", "blocked", "off_profile", "off_profile", "years"]
+    assert out[1]["evidence"] == "You must speak German fluently" and out[2]["evidence"] is None
+    assert [out[i]["score"] for i in (1, 2, 4, 5, 6)] == [5.0, 4.0, 0.0, 0.0, 4.0]
+    assert out[6]["years"] == 10 and out[2]["years"] == 3 and out[5]["years"] is None
+    assert out[1]["line"] == "1 | language | You must speak German fluently" and out[2]["line"] == "2 | passed | German is a plus"
+    assert out[3]["line"] == "3 | blocked | too_senior" and out[6]["line"] == "6 | years | senior | 10 years" and out[5]["line"] == "5 | off_profile | score under the floor"
+
+
+def test_running_totals_by_chunks(spark):
+    rows = spark.createDataFrame([(k, d, d % 5) for k in "ab" for d in range(40)], "k string, d int, v int")
+    plain = run.running_total(rows, "v", "d", ["k"])
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, run.running_total(rows, "v", "d", ["k"], chunk=F.floor(F.col("d") / 7)).select("k", "d", "v", "running").collect()))
