@@ -59,7 +59,8 @@ def layout(k: int, least: int) -> tuple[int, int, int, int]:
     parts beyond those that the differences can spoil, less one.
 
     Of the layouts whose signatures cover five elements or more, one with the most
-    spare parts, then the fewest signatures; else the one whose signatures cover the most.
+    spare parts, then the fewest signatures; else the one whose signatures cover the most. Where signatures cover enough, so many more parts are
+    spare that the parts with a signature over nothing, of which there are some among very many, are made up for and sets must still share several.
     """
     found = []
     for k2 in (1, 2):
@@ -68,7 +69,11 @@ def layout(k: int, least: int) -> tuple[int, int, int, int]:
                 n1 = k // (k2 + 1) + 1 + spare
                 each = least / n1 * (n2 - k2) / n2
                 found.append((each < 5, -spare if each >= 5 else 0, n1 * comb(n2, k2) if each >= 5 else -each, n1, n2, k2, spare))
-    *_, n1, n2, k2, spare = min(found)
+    few, *_, n1, n2, k2, spare = min(found)
+    each = least / n1 * (n2 - k2) / n2
+    more = spare + int(np.ceil(2 * n1 * comb(n2, k2) * np.exp(-each)))
+    if not few and least / (n1 + more - spare) * (n2 - k2) / n2 >= 4:
+        n1, spare = n1 + more - spare, more
     return n1, n2, k2, spare
 
 
@@ -657,35 +662,36 @@ class _Checker:
         one = self.texts.join(of.select("id").distinct(), "id", "left_semi")
         return one.mapInArrow(_sets(self.gram, False), "id long, elements binary")
 
+    def by_stars(self, pairs: DataFrame, by: str) -> DataFrame:
+        """The pairs (a, b) that pass the test. What is known of each b meets that of a, in runs of at most STAR."""
+        salts = pairs.groupBy(F.col("a").alias("key")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+        members = pairs.select(F.col("b").alias("id"), F.col("a").alias("key")).join(salts.hint("merge"), "key")
+        members = members.select("id", "key", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
+        centres = salts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+        placed = members.unionByName(centres).join(self.small.select("id", by).hint("merge"), "id")
+        dealt = placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
+        return materialize(dealt.mapInArrow(_stars(by, self.percent), "a long, b long"), by)
+
     def stars(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked. What is known of each b meets that of a, in runs of at most STAR: tallies, then compact sets;
-        what they let through is settled by the whole sets."""
+        """The pairs (a, b) that are linked: by tallies, then by compact sets; what they let through is settled by the whole sets."""
         for by in TESTS:
-            salts = pairs.groupBy(F.col("a").alias("key")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-            members = pairs.select(F.col("b").alias("id"), F.col("a").alias("key")).join(salts.hint("merge"), "key")
-            members = members.select("id", "key", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
-            centres = salts.select(F.col("key").alias("id"), "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-            placed = members.unionByName(centres).join(self.small.select("id", by).hint("merge"), "id")
-            dealt = placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
-            pairs = materialize(dealt.mapInArrow(_stars(by, self.percent), "a long, b long"), by)
+            pairs = self.by_stars(pairs, by)
             if pairs.isEmpty():
                 return pairs
         return self.links(pairs)
 
     def families(self, pairs: DataFrame, buckets: int) -> DataFrame:
-        """The pairs (a, b) that are linked, of which one set may have very many. Sets that pairs connect are dealt in blocks of about BLOCK, and each two
-        blocks meet: tallies, then compact sets; what they let through is settled by the whole sets."""
-        for by in TESTS:
-            if pairs.isEmpty():
-                return pairs
-            members = components(pairs).select("id", F.col("root").alias("family"))
-            sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-            members = materialize(members.join(sizes, "family"), "families")
-            calls = pairs.join(members.withColumnRenamed("id", "a"), "a").mapInArrow(_call(buckets), packedsteps.SQL)
-            placed = self.small.select("id", by).join(members, "id").mapInArrow(_place_sets(by, buckets), packedsteps.SQL)
-            met = packedsteps.step(calls.unionByName(placed), _settle(by, self.percent), spread=True)
-            pairs = materialize(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), by)
-        return self.links(pairs)
+        """The pairs (a, b) that are linked, of which one set may have very many. After their tallies, sets that pairs connect are dealt in blocks of about
+        BLOCK, and each two blocks meet as compact sets; what these let through is settled by the whole sets."""
+        if pairs.isEmpty() or (pairs := self.by_stars(pairs, "tally")).isEmpty():
+            return pairs
+        members = components(pairs).select("id", F.col("root").alias("family"))
+        sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        members = materialize(members.join(sizes, "family"), "families")
+        calls = pairs.join(members.withColumnRenamed("id", "a"), "a").mapInArrow(_call(buckets), packedsteps.SQL)
+        placed = self.small.select("id", "elements").join(members, "id").mapInArrow(_place_sets("elements", buckets), packedsteps.SQL)
+        met = packedsteps.step(calls.unionByName(placed), _settle("elements", self.percent), spread=True)
+        return self.links(materialize(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "likely"))
 
     def links(self, likely: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those that are linked, by the whole sets."""
