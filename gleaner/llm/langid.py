@@ -87,19 +87,26 @@ def between(score: np.ndarray, length: np.ndarray, move: np.ndarray, windows: np
 
     Each window's steps are multiplied into one matrix, all windows at once; these carry the messages from window to window."""
     n, t, l = score.shape
-    m = np.exp(move.astype(np.float64))
-    e = np.exp(score - score.max(axis=2, keepdims=True)).astype(np.float64)
-    through = np.broadcast_to(np.eye(l), (n, l, l)).copy()
+    m = np.exp(move.astype(score.dtype))
+    e = np.exp(score - score.max(axis=2, keepdims=True))
+    if not (windows > 1).any():
+        return np.ones((n, l)), np.ones((n, l))
+    by = np.argsort(-length, kind="stable")  # the longer first, so that each step is over a slice
+    live, steps = np.searchsorted(-length[by], -np.arange(t), side="left"), e[by]
+    product = np.broadcast_to(np.eye(l, dtype=score.dtype), (n, l, l)).copy()
     for i in range(t):
-        live = np.flatnonzero(i < length)
-        x = (through[live].reshape(-1, l) @ m).reshape(-1, l, l) * e[live, i, None, :]
-        through[live] = x / x.max(axis=(1, 2), keepdims=True)
+        k = live[i]
+        x = (product[:k].reshape(-1, l) @ m).reshape(-1, l, l)
+        x *= steps[:k, i, None, :]
+        if i % 4 == 3 or i == t - 1:
+            x /= x.max(axis=(1, 2), keepdims=True)
+        product[:k] = x
+    through = np.empty_like(product)
+    through[by] = product / product.max(axis=(1, 2), keepdims=True)
     enter, leave = np.ones((n, l)), np.ones((n, l))
     scaled = lambda x: x / x.max(axis=1, keepdims=True)
     at = (np.cumsum(windows) - windows)[windows > 1]  # each longer sequence's first window
     many = windows[windows > 1]
-    if not len(at):
-        return enter, leave
     x = e[at, 0]
     for i in range(1, t):
         x = scaled((x @ m) * e[at, i])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .units import U, mix
+from .units import U, give_back, mix
 
 SQL = "kind int, bucket long, x long, y long, z long, blob binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("blob", pa.binary())])
@@ -65,6 +65,7 @@ def step(df: DataFrame, work: Callable[[Bucket], Iterator[pa.RecordBatch]], spre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bucket(batches):
             yield from work(b)
+        give_back()
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     there = df.repartition(n, "bucket") if spread else df.repartition("bucket")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize, small_batches
-from .units import U, ranges, slices
+from .units import U, give_back, ranges, slices
 
 FLUSH = 1 << 19
 #: Stretches of one prefix that one task puts in order; and units put in order at once.
@@ -230,6 +230,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], pass_on: Callable) -> Iterator
             got.setdefault(kind, []).append(x)
     if got:
         yield got
+    got = {}
+    give_back()
 
 
 def _judged(most: int):

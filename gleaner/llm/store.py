@@ -32,7 +32,8 @@ _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """From now on the session hands texts to Python in batches of 8 MB at most: 10,000 rows, which Spark puts in a batch, may be any number of bytes. A
     lower bound that the session has stays."""
-    if int(spark.conf.get(_BATCH, None) or 1 << 31) > BATCH_BYTES:
+    now = spark.conf.get(_BATCH, None)
+    if now is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 

@@ -84,6 +84,15 @@ def _read_all(texts: Sequence[str], h: Hasher):
     return feats, which, sentence, np.append(at, ends_before), ends_before
 
 
+def slopes(z: np.ndarray, bag: np.ndarray, y: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of the documents' log-likelihood (each counts `count`), by each sentence's z. bag: each sentence's document.
+
+    A document is toxic with probability 1 - product of (1 - p), p = 1 / (1 + exp(-z)), so a toxic document's pull goes to its sentences by their p."""
+    none = -np.bincount(bag, weights=np.logaddexp(0, z), minlength=len(y))  # log of "no sentence is toxic"
+    pull = count * np.where(y > 0, np.exp(none) / np.maximum(-np.expm1(none), 1e-12), -1.0)
+    return pull[bag] * np.exp(-np.logaddexp(0, -z))
+
+
 class Model:
     def __init__(self):
         self.weights = np.zeros(DIM + 1, dtype=np.float32)
@@ -104,11 +113,7 @@ class Model:
         q, q_b = np.zeros(DIM + 1), 0.0
         for _ in range(rounds):
             z = self.sentences(feats, which, sentence, n)
-            p = np.exp(-np.logaddexp(0, -z))
-            none = -np.bincount(bag, weights=np.logaddexp(0, z), minlength=len(texts))  # log of "no sentence is toxic"
-            prob = np.maximum(-np.expm1(none), 1e-12)
-            pull = count * np.where(y > 0, np.exp(none) / prob, -1.0)
-            dz = pull[bag] * p
+            dz = slopes(z, bag, y, count)
             of_word = np.bincount(which, weights=dz[sentence], minlength=len(feats))
             g = np.bincount(feats.ravel(), weights=np.repeat(of_word, feats.shape[1]), minlength=DIM + 1) - decay * self.weights
             g[DIM] = 0

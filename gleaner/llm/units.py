@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Spark keeps a task's Python process for later tasks, of whatever kind."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with about `most` bytes of text each, one row at least."""
     for batch in batches:
@@ -90,6 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         cuts = cuts[cuts <= batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def words(raw: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -190,6 +190,25 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert {r["score"] < 0.5 for r in toxicity.toxicity_documents(df, labels.limit(0)).collect()} == {True}
 
 
+def test_noisy_or_slopes_against_differences():
+    rng = np.random.default_rng(7)
+    bag = np.sort(rng.integers(0, 6, 20))
+    bag[-1] = 5
+    z, y, count = rng.normal(size=20), np.array([0, 1, 1, 0, 1, 0.0]), rng.random(6)
+
+    def likelihood(z):
+        total = 0.0
+        for d in range(6):
+            none = np.prod([1 - 1 / (1 + np.exp(-x)) for x in z[bag == d]])
+            total += count[d] * np.log(1 - none if y[d] else none) if (bag == d).any() else 0
+        return total
+
+    got = toxicity.slopes(z, bag, y, count)
+    for i in range(20):
+        step = np.eye(20)[i] * 1e-6
+        assert abs(got[i] - (likelihood(z + step) - likelihood(z - step)) / 2e-6) < 1e-6
+
+
 def test_copies_do_not_fill_the_samples(spark, monkeypatch):
     took = []
     monkeypatch.setattr(langid.Field, "train", lambda self, texts, labels: took.extend((t, self.languages[i]) for t, i in zip(texts, labels)))
