@@ -292,3 +292,29 @@ def test_host_rules_against_plain_code(spark):
         assert not (r["kept"] and r["base_failed"])
     assert not any(out[i]["host_ok"] for i in (204, 310)) and out[0]["host_ok"]
     assert host_rules.quality_documents(spark.createDataFrame([], "doc_id bigint, text string, source string")).collect() == []
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Over 2 MB each, with what is looked for behind the first megabyte."""
+    from gleaner.llm import mixing, sharding
+
+    rng = random.Random(11)
+    fill = lambda words, n: " ".join(rng.choices(words, k=n))
+    plain = ["one", "two", "three", "four", "five", "six", "seventeen"]
+    item = " ".join(f"q{i}" for i in range(12))
+    long = f"{fill(plain, 300_000)}. {item}. vile. {fill(plain, 200_000)}"
+    assert len(long) > 2 << 20
+    short = [(i, fill(plain, 30) + (". vile." if i % 2 else "."), "en", "s") for i in range(60)] + [(100 + i, fill(["der", "und", "nicht", "machen"], 30), "de", "t") for i in range(60)]
+    df = spark.createDataFrame([*short, (500, long, None, "s")], "doc_id bigint, text string, lang string, source string")
+    one = lambda out: out.filter("doc_id = 500").first().asDict()
+    n = len(WORD.findall(long))
+    got = one(decontaminate.check_documents(df, spark.createDataFrame([(7, item)], "item_id bigint, text string")))
+    assert (got["n_words"], got["n_hit"], got["n_items"]) == (n, 12, 1)
+    assert one(langid.identify_documents(df))["lang_pred"] == "en"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100 + i, 0) for i in range(60)], "doc_id bigint, toxic int")
+    got = one(toxicity.score_documents(df, labels, F.lit(True)))
+    assert [long[s["start"] : s["end"]].strip() for s in got["offending"]] == ["vile."]
+    got = one(host_rules.quality_documents(df))
+    assert got["n_words"] == len(long.split()) and not got["base_failed"] == (100 * got["n_repeat_words"] <= 30 * got["n_words"])
+    assert one(mixing.mix_documents(df))["size"] == len(long.split())
+    assert one(sharding.shard_documents(df))["size"] == len(long) + 1
