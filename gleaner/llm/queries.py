@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, jaccard, prefix_free, standins, suffix_tree
+from . import decontaminate, host_rules, jaccard, merkle, prefix_free, standins, suffix_tree
 from .decontaminate import check_documents
 from .host_rules import quality_documents
 from .jaccard import join_documents
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_toxicity": lambda spark, d: toxicity_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_prefix_free": lambda spark, d: prefix_free.dedup_documents(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
+    "op11_merkle_manifest": lambda spark, d: merkle.check_documents(table(spark, d, "documents")),
     **standins.QUERIES,
 }
 
@@ -33,5 +34,6 @@ ORACLES: dict[str, str] = {
     "op6_suffix_tree": suffix_tree.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
     "op9_prefix_free": prefix_free.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     **standins.ORACLES,
 }
