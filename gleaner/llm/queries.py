@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, jaccard, merkle, prefix_free, standins, suffix_tree
+from . import decontaminate, host_rules, jaccard, merkle, prefix_free, standins, suffix_tree, trie
 from .decontaminate import check_documents
 from .host_rules import quality_documents
 from .jaccard import join_documents
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_prefix_free": lambda spark, d: prefix_free.dedup_documents(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
     "op11_merkle_manifest": lambda spark, d: merkle.check_documents(table(spark, d, "documents")),
+    "op12_prefix_trie": lambda spark, d: trie.conversation_trie(table(spark, d, "conversations")),
     **standins.QUERIES,
 }
 
@@ -35,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op7_host_rules": host_rules.ORACLE,
     "op9_prefix_free": prefix_free.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
     **standins.ORACLES,
 }
