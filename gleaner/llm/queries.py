@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, jaccard, merkle, prefix_free, standins, suffix_tree, trie
+from . import decontaminate, host_rules, jaccard, merkle, prefix_free, simhash, standins, suffix_tree, trie
 from .decontaminate import check_documents
 from .host_rules import quality_documents
 from .jaccard import join_documents
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_mixing": lambda spark, d: mix_documents(table(spark, d, "documents")),
     "op11_merkle_manifest": lambda spark, d: merkle.check_documents(table(spark, d, "documents")),
     "op12_prefix_trie": lambda spark, d: trie.conversation_trie(table(spark, d, "conversations")),
+    "op13_simhash": lambda spark, d: simhash.fingerprint_documents(table(spark, d, "documents")),
     **standins.QUERIES,
 }
 
@@ -37,5 +38,6 @@ ORACLES: dict[str, str] = {
     "op9_prefix_free": prefix_free.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_prefix_trie": trie.ORACLE,
+    "op13_simhash": simhash.ORACLE,
     **standins.ORACLES,
 }
