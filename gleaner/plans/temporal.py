@@ -105,7 +105,7 @@ def events_in_merged_runs(t):
 
 
 _GAP = 12 * _HOUR
-_SESSIONS = _ISLANDS.format(key="user_id,", part="PARTITION BY user_id", apart=">=", spans=f"SELECT event_id AS id, user_id, epoch_us(ts) AS s, epoch_us(ts) + {_GAP} AS e, event_id FROM events").replace("count(*) AS n", "count(*) AS n, min(event_id) AS first_id")
+_SESSIONS = _ISLANDS.format(key="user_id,", part="PARTITION BY user_id", apart=">", spans=f"SELECT event_id AS id, user_id, epoch_us(ts) AS s, epoch_us(ts) + {_GAP} AS e, event_id FROM events").replace("count(*) AS n", "count(*) AS n, min(event_id) AS first_id")
 
 
 def _of_session():
@@ -118,7 +118,7 @@ def user_sessions(t):
     return sessions(t("events"), ["user_id"], micros("ts"), _GAP, [c.alias(n) for n, c in _of_session().items()])
 
 
-@query(_ISLANDS.format(key="", part="", apart=">=", spans=f"SELECT event_id AS id, epoch_us(ts) AS s, epoch_us(ts) + 60000000 AS e FROM events"))
+@query(_ISLANDS.format(key="", part="", apart=">", spans=f"SELECT event_id AS id, epoch_us(ts) AS s, epoch_us(ts) + 60000000 AS e FROM events"))
 def sessions_of_all(t):
     """Events of all users together without a pause of a minute: one key that has every row."""
     return sessions(t("events"), [], micros("ts"), 60_000_000, [F.count("*").alias("n")])
