@@ -19,7 +19,7 @@ def duck():
 
 
 def names():
-    from gleaner.plans import captures, screening, temporal  # noqa: F401
+    from gleaner.plans import captures, screening, temporal, vectors  # noqa: F401
     from gleaner.plans.registry import QUERIES
 
     return sorted(QUERIES)
