@@ -27,7 +27,7 @@ def levels(rows: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]],
     """A row for each group of each set: dims (null where the set leaves one out), grouping_id, and the measures.
 
     measures: name to (sum, count, min, max or avg, value). grouping_id has a bit for each dim, the first the highest, that is set where the set leaves it out, so that the group of null values is told
-    from all values together. A set that is given twice gives its rows twice. The empty set has one row, even of no rows; other sets have none then.
+    from all values together. A set that is given twice gives its rows twice. No rows have no groups, not even that of the empty set.
     """
     parts: dict[str, tuple[str, Column]] = {}
     for name, (kind, value) in measures.items():

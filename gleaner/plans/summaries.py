@@ -75,23 +75,24 @@ def lines_pivot(t):
     return levels.pivoted(_lines(t), ["line"], "l_returnflag", ["A", "N", "R", "none"], "sum", F.col("q"))
 
 
-# Sightings as multisets of what was seen and by whom, some of them by nobody.
-_SEEN = "SELECT event_type, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 40 END AS who FROM events WHERE event_id % 3 {}"
+# Sightings as two multisets: by whom they were, and by whom they would be if each user were the next one; some are by nobody.
+_SEEN = "SELECT event_type, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 40 END AS who FROM events"
+_MOVED = "SELECT event_type, CASE WHEN user_id % 5 = 0 THEN NULL ELSE (user_id + 1) % 40 END AS who FROM events"
 
 
 def _bags(t):
-    rows = t("events").selectExpr("event_id % 3 AS third", "event_type", "CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 40 END AS who")
-    return rows.filter("third <> 1").drop("third"), rows.filter("third <> 2").drop("third")
+    who = [side.partition(",")[2].rpartition(" FROM")[0] for side in (_SEEN, _MOVED)]
+    return [t("events").selectExpr("event_type", w) for w in who]
 
 
-@query(f"{_SEEN.format('<> 1')} INTERSECT ALL {_SEEN.format('<> 2')}")
+@query(f"{_SEEN} INTERSECT ALL {_MOVED}")
 def seen_in_both(t):
     """Each sighting as often as both sides have it."""
     a, b = _bags(t)
     return a.intersectAll(b)
 
 
-@query(f"{_SEEN.format('<> 1')} EXCEPT ALL {_SEEN.format('<> 2')}")
+@query(f"{_SEEN} EXCEPT ALL {_MOVED}")
 def seen_once_more(t):
     """Each sighting as many times as the one side has it more often than the other."""
     a, b = _bags(t)
