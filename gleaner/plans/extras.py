@@ -1,13 +1,16 @@
-"""Functions of a user's own, payloads without a fixed form, calendar days."""
+"""Functions of a user's own, payloads without a fixed form, calendar days, captures in files."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import days
 from gleaner.operators import folds
+from gleaner.operators.shared import shared_dir
 from gleaner.plans.registry import query
-from gleaner.sources import variants
+from gleaner.sources import pagestore, pdfs, variants
 
 _HOST = "regexp_extract(url, '://([^/?#]+)', 1)"
 
@@ -61,3 +64,34 @@ def orders_by_local_day(t):
     at = F.expr("timestampadd(MINUTE, CAST(o_orderkey % 1440 AS INT), CAST(o_orderdate AS TIMESTAMP_NTZ))")
     out = days.per_day(t("orders"), at, _ZONE, ["o_orderpriority"])
     return out.select("o_orderpriority", F.date_format("day", "yyyy-MM-dd").alias("day"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', begins)").alias("begins"), "hours", "n")
+
+
+_STORED = f"SELECT page_id, url, html, CASE WHEN page_id % 13 <> 0 THEN DATE '2024-05-01' + CAST(page_id % 5 AS INTEGER) END AS day, concat('s', page_id % 3) AS site FROM pages"
+
+
+@query(f"SELECT url, strftime(day, '%Y-%m-%d') AS day, site, CAST(length(html) AS INTEGER) AS chars FROM ({_STORED}) WHERE day >= DATE '2024-05-02' AND day < DATE '2024-05-05' AND site IN ('s0', 's2') AND length(html) > 200")
+def stored_pages(t):
+    """All pages written as a store of captures, and those of three days and two sites read from it: the rest of the files is left alone."""
+    pages = t("pages").selectExpr("url", "html", "CASE WHEN page_id % 13 <> 0 THEN date_add(DATE'2024-05-01', CAST(page_id % 5 AS INT)) END AS day", "concat('s', page_id % 3) AS site")
+    folder = f"{shared_dir(pages.sparkSession)}/gleaner-pagestore-{uuid.uuid4().hex}"
+    pagestore.save(pages, folder)
+    found = pagestore.load(pages.sparkSession, folder).filter("day >= DATE'2024-05-02' AND day < DATE'2024-05-05' AND site IN ('s0', 's2')").filter(F.length("html") > 200)
+    return found.select("url", F.date_format("day", "yyyy-MM-dd").alias("day"), "site", F.length("html").alias("chars"))
+
+
+_LINES = "len(string_split(coalesce(text, ''), chr(10)))"
+
+
+@query(f"""SELECT doc_id, kind IN (0, 2) AS opens, CASE kind WHEN 1 THEN 'no pointer near the end' WHEN 3 THEN 'no pointer near the end' WHEN 4 THEN 'no header' WHEN 5 THEN 'no table where the pointer points' WHEN 6 THEN 'no header' END AS problem,
+CASE WHEN kind IN (0, 2) THEN CAST((greatest(1, {_LINES}) + 49) // 50 AS INTEGER) END AS pages, kind IN (2, 3) OR kind NOT IN (4, 6) AND above AS above_floor
+FROM (SELECT *, doc_id % 7 AS kind, NULL AS above FROM documents)""".replace("kind IN (2, 3) OR kind NOT IN (4, 6) AND above AS above_floor", "CASE WHEN kind IN (2, 3) THEN true WHEN kind = 6 THEN false END AS above_floor"))
+def pdf_checks(t):
+    """A file of each document, whole, cut off, padded before its pointer and behind it, without its head, with a wrong pointer, and empty; and what verifying says of each."""
+    files = pdfs.drawn(t("documents"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n"))
+    kind, c = F.col("doc_id") % 7, F.col("content")
+    cut = lambda a, b: F.expr(f"substring(content, {a}, {b})")
+    wrong = F.encode(F.regexp_replace(F.decode(c, "ISO-8859-1"), "startxref\n(\\d+)", "startxref\n9"), "ISO-8859-1")
+    content = F.when(kind == 1, cut(1, "octet_length(content) - 30")).when(kind == 2, pdfs.pad(c)).when(kind == 3, F.expr("concat(content, CAST(repeat('X', 8200) AS BINARY))"))
+    content = content.when(kind == 4, cut(6, "octet_length(content)")).when(kind == 5, wrong).when(kind == 6, F.lit(b"")).otherwise(c)
+    out = pdfs.verified(files.withColumn("content", content), "doc_id")
+    return out.select("doc_id", "opens", "problem", "pages", F.when((F.col("doc_id") % 7).isin(2, 3, 6), F.col("above_floor")).alias("above_floor"))
