@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .store import materialize, release, small_batches
-from .units import ALNUM, LOWER, Hasher, flat, ranges, slices, words
+from .units import ALNUM, LOWER, Hasher, U, flat, mix, ranges, slices, words
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -26,32 +26,80 @@ SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 32 << 20
 
 
+#: Phrases that a task searches for at once.
+CHUNK = 1 << 16
+
+
 class Phrases:
-    """The distinct windows of some benchmark items."""
+    """The distinct windows of some benchmark items, kept as the items' words: four bytes a word, a bit that tells where a distinct window starts first, and a
+    pair of numbers for each further item that has it."""
 
     def __init__(self, ids: Sequence[str | None], texts: Sequence[str | None], window: int):
-        h = Hasher(21)
-        raw, off = flat(pa.array(texts, pa.large_string()))
-        a, b, at = words(raw, off, ALNUM)
-        w = h.span(h.prefix(h.of_byte[LOWER[raw]]), a, b)
-        self.vocabulary, symbol = np.unique(w, return_inverse=True)
-        symbol = symbol + 1
+        h, hashes, sizes = Hasher(21), [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+        for piece in slices(iter([batch])):
+            raw, off = flat(piece.column("text"))
+            a, b, at = words(raw, off, ALNUM)
+            hashes.append(h.span(h.prefix(h.of_byte[LOWER[raw]]), a, b))
+            sizes.append(np.diff(at))
+        self.window, size = window, np.concatenate(sizes)
+        self.vocabulary, symbol = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.symbols = (symbol + 1).astype(np.int32)
+        del hashes, symbol
         names: dict[str | None, int] = {}
-        rows, lengths, items = [], [], []
-        for i, (x, y) in enumerate(zip(at[:-1], at[1:])):
-            m = min(window, y - x)
-            item = names.setdefault(ids[i], len(names))
-            for s in range(x, y - m + 1) if m else ():
-                rows.append(np.concatenate([np.zeros(window - m, dtype=np.int64), symbol[s : s + m]]))
-                lengths.append(m)
-                items.append(item)
-        self.names = list(names)
-        every = np.array(rows, dtype=np.int64).reshape(-1, window)
-        self.rows, of = np.unique(every, axis=0, return_inverse=True)
-        self.lengths = (self.rows > 0).sum(axis=1)
-        pair = np.unique(np.stack([of.ravel(), np.array(items, dtype=np.int64)], axis=1), axis=0) if len(rows) else np.zeros((0, 2), dtype=np.int64)
-        self.items, self.item_at = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(self.rows) + 1))
-        self.least = int(self.lengths.min()) if len(rows) else 0
+        self.codes = np.array([names.setdefault(x, len(names)) for x in ids], dtype=np.int32)
+        self.names, self.begins = list(names), np.concatenate([[0], np.cumsum(size)])
+        self.least = int(np.minimum(size, window)[size > 0].min()) if (size > 0).any() else 0
+        starts = np.repeat(self.begins[:-1], self._windows(size)) + ranges(self._windows(size))
+        first, again, of = self._distinct(starts)
+        mask = np.zeros(len(self.symbols), dtype=bool)
+        mask[first] = True
+        self.mask = np.packbits(mask)
+        # Windows that start elsewhere too: the number of the first in order of places, and the item.
+        pair = np.unique(np.searchsorted(np.sort(first), of) * np.int64(max(1, len(names))) + self.codes[self._item(again)])
+        self.more = (pair // max(1, len(names))).astype(np.int32), (pair % max(1, len(names))).astype(np.int32)
+
+    def _windows(self, size: np.ndarray) -> np.ndarray:
+        return np.where(size > 0, size - np.minimum(size, self.window) + 1, 0)
+
+    def _item(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, starts, side="right") - 1
+
+    def rows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of windows, right-aligned behind zeros, and their lengths."""
+        item = self._item(starts)
+        length = np.minimum(self.begins[item + 1] - self.begins[item], self.window)
+        at = starts[:, None] + np.arange(self.window)[None, :] - (self.window - length)[:, None]
+        return np.where(at >= starts[:, None], self.symbols[np.maximum(at, 0)], 0).astype(np.int64), length
+
+    def _distinct(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First start of each distinct window; all other starts; and the first start of each of these."""
+        h, hashes = Hasher(22), [np.zeros(0, dtype=U)]
+        for i in range(0, len(starts), CHUNK):
+            rows, _ = self.rows(starts[i : i + CHUNK])
+            prefix = h.prefix(mix(rows.ravel().astype(U)))
+            low = np.arange(len(rows)) * self.window
+            hashes.append(h.span(prefix, low, low + self.window))
+        hashes = np.concatenate(hashes)
+        order = np.argsort(hashes, kind="stable")
+        new = np.ones(len(order), dtype=bool)
+        for i in range(1, len(order), CHUNK):  # windows of one hash are compared word by word
+            here, before = order[i : i + CHUNK], order[i - 1 : i - 1 + CHUNK][: len(order[i : i + CHUNK])]
+            same = np.flatnonzero(hashes[here] == hashes[before])
+            same = same[(self.rows(starts[here[same]])[0] == self.rows(starts[before[same]])[0]).all(axis=1)]
+            new[i + same] = False
+        run = np.cumsum(new) - 1
+        first = starts[order[new]]
+        return first, starts[order[~new]], first[run[~new]]
+
+    def firsts(self) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(self.mask, count=len(self.symbols)))
+
+    def items_of(self, phrase: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in phrase, item's code) of all items that have these phrases (numbers among firsts(), which start there)."""
+        low, high = np.searchsorted(self.more[0], phrase), np.searchsorted(self.more[0], phrase, side="right")
+        k = high - low
+        return np.concatenate([np.arange(len(phrase)), np.repeat(np.arange(len(phrase)), k)]), np.concatenate([self.codes[self._item(starts)], self.more[1][np.repeat(low, k) + ranges(k)]])
 
 
 def _find(p: Phrases, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,19 +128,22 @@ def _find(p: Phrases, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     place[inner] = np.repeat(a, b - a) + ranges(b - a)
     x[inner] = symbols[place[inner]]
     index = FMIndex(x, len(p.vocabulary))
-    low, high = index.search(p.rows, p.lengths)
-    count = high - low
-    phrase = np.repeat(np.arange(len(low)), count)
-    word = place[index.locate(np.repeat(low, count) + ranges(count))]
-    delta = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(delta, word, 1)
-    np.add.at(delta, word + p.lengths[phrase], -1)
+    delta, starts, pairs = np.zeros(n + 1, dtype=np.int64), p.firsts(), [none]
+    for i in range(0, len(starts), CHUNK):
+        rows, lengths = p.rows(starts[i : i + CHUNK])
+        low, high = index.search(rows, lengths)
+        count = high - low
+        phrase = np.repeat(np.arange(len(low)), count)
+        word = place[index.locate(np.repeat(low, count) + ranges(count))]
+        np.add.at(delta, word, 1)
+        np.add.at(delta, word + lengths[phrase], -1)
+        doc = np.searchsorted(at, word, side="right") - 1
+        found = np.unique(np.stack([doc, phrase], axis=1), axis=0) if len(doc) else none
+        of, item = p.items_of(found[:, 1] + i, starts[found[:, 1] + i])
+        pairs.append(np.stack([found[of, 0], item.astype(np.int64)], axis=1))
     covered = np.cumsum(delta[:-1]) > 0
-    doc = np.searchsorted(at, word, side="right") - 1
-    pair = np.unique(np.stack([doc, phrase], axis=1), axis=0) if len(doc) else none
-    k = p.item_at[pair[:, 1] + 1] - p.item_at[pair[:, 1]]
-    items = p.items[np.repeat(p.item_at[pair[:, 1]], k) + ranges(k)]
-    return covered, np.unique(np.stack([np.repeat(pair[:, 0], k), items], axis=1), axis=0) if len(items) else none
+    every = np.concatenate(pairs)
+    return covered, np.unique(every, axis=0) if len(every) else none
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -186,7 +237,7 @@ def decontaminate(
     one id count once. A text of any length is searched whole. Without documents there are no rows, without items no hits.
 
     What is searched for reaches the driver and every task, so the benchmark is dealt into blocks of at most block_bytes of text (one
-    item may be longer). The driver holds one block at a time: each is read, searched for in one pass over the documents, and
+    item may be longer); of 32 MB of English-like text that is about 30 MB. The driver holds one block at a time: each is read, searched for in one pass over the documents, and
     let go of when the pass's findings are written.
     """
     small_batches(docs.sparkSession)
@@ -228,8 +279,8 @@ def _blocks(items: DataFrame, block_bytes: int) -> tuple[list[tuple[int, int]],
 
 
 def _phrases(items: DataFrame, block: tuple[int, int], window: int) -> Phrases:
-    rows = items.filter(F.col("part").between(*block)).orderBy("i", "t").collect()
-    return Phrases([r["i"] for r in rows], [r["t"] for r in rows], window)
+    rows = items.filter(F.col("part").between(*block)).select("i", F.col("t")).toArrow()
+    return Phrases(rows.column("i").to_pylist(), rows.column("t").to_pylist(), window)
 
 
 def _in_passes(docs, items, blocks, carry, window, cut, shard_bytes, typed):

@@ -9,7 +9,7 @@ language is the one with the largest mean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,10 @@ SAMPLE_BYTES = 64 << 10
 #: The commonest languages, so many, are learned; a rarer value of lang is never predicted.
 MAX_LANGUAGES = 200
 LEXICON = 200
+#: Bytes of text that are learned from, of all languages together, dealt equally; and words times languages that a round of learning goes through.
+TOTAL_BYTES, CELLS = 16 << 20, 10_000_000
+#: Words times languages that are held at once; and languages up to which messages go from window to window by matrices.
+HELD, BY_MATRIX = 4_000_000, 16
 HEADS, TAILS, GRAM, GRAMS = (1, 2, 3, 4), (1, 2, 3, 4), 3, 8
 SEED = 31
 
@@ -44,6 +48,20 @@ def _read(column: pa.Array, h: Hasher):
     return at, key, word_features(h, p, a, b, DIM, HEADS, TAILS, GRAM, GRAMS), later_grams(h, p, a, b, DIM, GRAM, GRAMS), which
 
 
+def _read_many(texts: Sequence[str], h: Hasher):
+    """As _read(), from slices of the texts, so that only their distinct words and the words' numbers are held."""
+    parts = [_read(piece.column("text"), h) for piece in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])]))] or [_read(pa.array([], pa.large_string()), h)]
+    start = np.cumsum([0] + [len(p[1]) for p in parts])
+    key, first, which = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+    feats = np.concatenate([p[2].astype(np.int32) for p in parts])[first]
+    word, feat = (np.concatenate([p[3][0] + s for p, s in zip(parts, start)]), np.concatenate([p[3][1] for p in parts]))
+    mine = first[which[word]] == word  # those of a word's first slice
+    word, feat = which[word[mine]], feat[mine]
+    order = np.argsort(word, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[0]) for p in parts]))])
+    return at, key, feats, (word[order], feat[order]), np.concatenate([which[s + p[4]] for p, s in zip(parts, start)])
+
+
 def forward_backward(
     score: np.ndarray, length: np.ndarray, move: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,6 +138,42 @@ def between(score: np.ndarray, length: np.ndarray, move: np.ndarray, windows: np
     return enter, leave
 
 
+def between_words(score_of: Callable[[np.ndarray], np.ndarray], length: np.ndarray, move: np.ndarray, windows: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
+    """As between(), word by word: for many languages, where a matrix for each window would be far more work than the vectors that go through it. score_of: the scores of some windows, by number."""
+    n, l = len(length), len(move)
+    m = np.exp(move.astype(np.float32))
+    back = np.ascontiguousarray(m.T)
+    enter, leave = np.ones((n, l), dtype=np.float32), np.ones((n, l), dtype=np.float32)
+    first, some = np.cumsum(windows) - windows, max(1, held // (WINDOW * l))
+    scaled = lambda x: x / x.max(axis=1, keepdims=True)
+    grown = lambda i: np.exp((x := score_of(i)) - x.max(axis=2, keepdims=True))
+    for k in range(int(windows.max(initial=0)) - 1):
+        now = first[windows > k + 1] + k
+        for i in range(0, len(now), some):
+            at = now[i : i + some]
+            e = grown(at)
+            x = e[:, 0] * (enter[at] if k else 1)
+            for t in range(1, WINDOW):
+                x = (x @ m) * e[:, t]
+                x = scaled(x) if t % 4 == 3 else x
+            enter[at + 1] = scaled(x @ m)
+    for k in range(int(windows.max(initial=0)) - 1, 0, -1):
+        now = first[windows > k] + k
+        for i in range(0, len(now), some):
+            at = now[i : i + some]
+            e, size = grown(at), length[at]
+            x = leave[at].copy()
+            for t in range(int(size.max()) - 1, -1, -1):
+                live = size > t
+                if live.all():
+                    x = (e[:, t] * x) @ back
+                else:
+                    x[live] = (e[live, t] * x[live]) @ back
+                x = scaled(x) if t % 4 == 0 else x
+            leave[at - 1] = x
+    return enter, leave
+
+
 class Field:
     """Weights of the features (and one row of zeros), of the lexicons, and of the transitions."""
 
@@ -152,18 +206,19 @@ class Field:
 
     def train(self, texts: Sequence[str], labels: Sequence[int], rounds: int = 40, rate: float = 0.15, decay: float = 1e-5) -> None:
         h, n = Hasher(SEED), len(self.languages)
-        at, key, feats, later, which = _read(pa.array(texts, pa.large_string()), h)
+        at, key, feats, later, which = _read_many(texts, h)
         label = np.repeat(np.asarray(labels), np.diff(at))
-        # Lexicons: the words most typical of a language.
-        counts = np.stack([np.bincount(which[label == i], minlength=len(key)) for i in range(n)], axis=1)
-        share = counts / np.maximum(counts.sum(axis=0), 1)
-        typical = counts * (share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12) > 0.6)
-        listed = np.zeros((len(key), n), dtype=np.float32)
-        for i in range(n):
-            best = np.argsort(-typical[:, i], kind="stable")[:LEXICON]
-            listed[best[typical[best, i] > 1], i] = 1
-        some = listed.any(axis=1)
-        self.lexicon, self.listed = key[some], listed[some]
+        # Lexicons: the words most typical of a language, in which a word's share is more than that in all others together.
+        pair, count = np.unique(which.astype(np.int64) * n + label, return_counts=True)
+        word, of = pair // n, pair % n
+        share = count / np.maximum(np.bincount(of, weights=count, minlength=n), 1)[of]
+        typical = (share > 0.6 * np.bincount(word, weights=share, minlength=len(key))[word]) & (count > 1)
+        word, of, count = word[typical], of[typical], count[typical]
+        best = np.lexsort((word, -count, of))
+        best = best[ranges(np.bincount(of, minlength=n)) < LEXICON]
+        some = np.sort(word[best])
+        self.lexicon, self.listed = key[some], np.zeros((len(some), n), dtype=np.float32)
+        self.listed[np.searchsorted(some, word[best]), of[best]] = 1
         # Runs of 4 to 24 words from the documents in a seeded order, spliced into sequences.
         rng = np.random.default_rng(SEED)
         runs = []
@@ -178,36 +233,49 @@ class Field:
         if not len(order):
             return
         t = min(WINDOW, len(order))
-        order = order[: len(order) // t * t].reshape(-1, t)
-        length = np.full(len(order), t)
-        seen, word = np.unique(which[order], return_inverse=True)
-        word = word.reshape(order.shape)
-        f, k, y = feats[seen], key[seen], label[order]
-        i = np.minimum(np.searchsorted(seen, later[0]), len(seen) - 1)
-        ours = seen[i] == later[0]
-        later = i[ours], later[1][ours]
-        lists = self.lists(k)
+        order = order[: min(len(order), max(t, CELLS // n)) // t * t].reshape(-1, t)
+        y = label[order]
         truth_moves = np.zeros((n, n))
         np.add.at(truth_moves, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        truth = np.eye(n, dtype=np.float32)[y]
+        size = max(1, HELD // (t * n))
+        batches = [(order[i : i + size], y[i : i + size], *np.unique(which[order[i : i + size]], return_inverse=True)) for i in range(0, len(order), size)]
         params = [self.weights, self.listed_weight, self.move]
         square = [np.zeros(p.shape, dtype=np.float64) for p in params]
         for _ in range(rounds):
-            score = self.emit(k, f, later)[word]
-            post, pairs, _ = forward_backward(score, length, self.move)
-            diff = (truth - post).reshape(-1, n) / len(order)
-            of_word = np.stack([np.bincount(word.ravel(), weights=diff[:, i], minlength=len(seen)) for i in range(n)], axis=1)
-            grad = np.stack([np.bincount(f.ravel(), weights=np.repeat(of_word[:, i], f.shape[1]), minlength=DIM + 1) for i in range(n)], axis=1)
-            if len(later[0]):
-                grad += np.stack([np.bincount(later[1], weights=of_word[later[0], i], minlength=DIM + 1) for i in range(n)], axis=1)
-            grad[DIM] = 0
-            grads = [grad - decay * self.weights, lists.T @ of_word, (truth_moves - pairs) / len(order)]
+            grads = [np.zeros(p.shape, dtype=np.float64) for p in params]
+            for part, truth, seen, word in batches:
+                word = word.reshape(part.shape)
+                f, k, (of, feat) = feats[seen], key[seen], _some(later, seen)
+                score = self.emit(k, f, (of, feat))[word]
+                post, pairs, _ = forward_backward(score, np.full(len(part), t), self.move)
+                np.negative(post, out=post)
+                post.reshape(-1, n)[np.arange(part.size), truth.ravel()] += 1
+                diff = post.reshape(-1, n) / len(order)
+                of_word = np.stack([np.bincount(word.ravel(), weights=diff[:, i], minlength=len(seen)) for i in range(n)], axis=1)
+                for i in range(n):
+                    grads[0][:, i] += np.bincount(f.ravel(), weights=np.repeat(of_word[:, i], f.shape[1]), minlength=DIM + 1)
+                    if len(of):
+                        grads[0][:, i] += np.bincount(feat, weights=of_word[of, i], minlength=DIM + 1)
+                grads[1] += self.lists(k).T @ of_word
+                grads[2] -= pairs / len(order)
+            grads[0][DIM] = 0
+            grads[0] -= decay * self.weights
+            grads[2] += truth_moves / len(order)
             for p, g, q in zip(params, grads, square):
-                q += g * g
-                p += (rate * g / np.sqrt(q + 1e-12)).astype(np.float32)
+                for i in range(0, len(p), 4096):
+                    rows = slice(i, i + 4096)
+                    q[rows] += g[rows] * g[rows]
+                    p[rows] += (rate * g[rows] / np.sqrt(q[rows] + 1e-12)).astype(np.float32)
             self.weights[DIM] = 0
 
 
+def _some(later: tuple[np.ndarray, np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The further n-grams of some words (ascending), by their place among these."""
+    low, high = np.searchsorted(later[0], seen), np.searchsorted(later[0], seen, side="right")
+    k = high - low
+    return np.repeat(np.arange(len(seen)), k), later[1][np.repeat(low, k) + ranges(k)]
+
+
 def _label(field: Field):
     """(…, lang_pred, score, runs of words of one language) of every text."""
     n = len(field.languages)
@@ -223,15 +291,31 @@ def _label(field: Field):
             length = np.minimum(WINDOW, np.repeat(at[1:], windows) - head)
             total = np.zeros((len(count), n))
             best = np.zeros(len(which), dtype=np.int64)
-            if len(head):
-                score = np.zeros((len(head), WINDOW, n), dtype=np.float32)
-                cell = np.repeat(np.arange(len(head)) * WINDOW, length) + ranges(length)
-                score.reshape(-1, n)[cell] = field.emit(key, feats, later)[which]
-                post, _, _ = forward_backward(score, length, field.move, *between(score, length, field.move, windows))
-                post = post.reshape(-1, n)[cell]
-                best = post.argmax(axis=1)
-                some = count > 0
-                total[some] = np.add.reduceat(post.astype(np.float64), at[:-1][some], axis=0)
+
+            def score_of(i: np.ndarray) -> np.ndarray:
+                """Scores of windows by number, of which only their words' features are looked up."""
+                place = np.repeat(head[i], length[i]) + ranges(length[i])
+                seen, word = np.unique(which[place], return_inverse=True)
+                out = np.zeros((len(i), WINDOW, n), dtype=np.float32)
+                out.reshape(-1, n)[np.repeat(np.arange(len(i)) * WINDOW, length[i]) + ranges(length[i])] = field.emit(key[seen], feats[seen], _some(later, seen))[word]
+                return out
+
+            def told(i: np.ndarray, score: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> None:
+                cell = np.repeat(np.arange(len(i)) * WINDOW, length[i]) + ranges(length[i])
+                post = forward_backward(score, length[i], field.move, enter, leave)[0].reshape(-1, n)[cell]
+                best[np.repeat(head[i], length[i]) + ranges(length[i])] = post.argmax(axis=1)
+                cut = np.cumsum(length[i]) - length[i]
+                np.add.at(total, owner[i], np.add.reduceat(post.astype(np.float64), cut, axis=0))
+
+            owner, every = np.repeat(np.arange(len(count)), windows), np.arange(len(head))
+            if n <= BY_MATRIX and len(head):
+                score = score_of(every)
+                told(every, score, *between(score, length, field.move, windows))
+            elif len(head):
+                enter, leave = between_words(score_of, length, field.move, windows)
+                size = max(1, HELD // (WINDOW * n))
+                for i in range(0, len(head), size):
+                    told(every[i : i + size], score_of(every[i : i + size]), enter[i : i + size], leave[i : i + size])
             mean = total / np.maximum(count, 1)[:, None]
             pick = mean.argmax(axis=1)
             # Runs of equal labels.
@@ -252,7 +336,7 @@ def _label(field: Field):
 
 def learn(docs: DataFrame, text: str, lang: str, usable: Column, per_language: int = PER_LANGUAGE) -> Field | None:
     """A field trained from a sample of the distinct usable texts, about per_language of each language (at most twice that, those of
-    the least hashes; ties in the hash by text), none over SAMPLE_BYTES long; none without rows."""
+    the least hashes; ties in the hash by text; and no more than its share of TOTAL_BYTES but for one text), none over SAMPLE_BYTES long; none without rows."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
     counts = rows.groupBy(lang).agg(F.approx_count_distinct(F.xxhash64(text), 0.02).alias("count")).orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
     if not counts:
@@ -261,8 +345,9 @@ def learn(docs: DataFrame, text: str, lang: str, usable: Column, per_language: i
     draw = F.pmod(F.xxhash64(F.lit(SEED), text), F.lit(1_000_000))
     cut = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1_000_000, per_language * 1_000_000 // r[1] + 1))])
     drawn = rows.filter(draw < F.element_at(cut, F.col(lang))).select(text, lang).distinct().withColumn("h", F.xxhash64(text))
-    place = F.row_number().over(Window.partitionBy(lang).orderBy("h", text))
-    picked = drawn.withColumn("__n", place).filter(F.col("__n") <= 2 * per_language).collect()
+    in_turn = Window.partitionBy(lang).orderBy("h", text)
+    drawn = drawn.withColumns({"__n": F.row_number().over(in_turn), "__b": F.sum(F.octet_length(text)).over(in_turn.rowsBetween(Window.unboundedPreceding, 0))})
+    picked = drawn.filter(F.col("__n") <= 2 * per_language).filter((F.col("__b") <= TOTAL_BYTES // len(languages)) | (F.col("__n") == 1)).collect()
     picked.sort(key=lambda r: (r["h"], r[1], r[0]))
     field = Field(languages)
     field.train([r[0] for r in picked], [languages.index(r[1]) for r in picked])
@@ -275,21 +360,24 @@ def identify(docs: DataFrame, usable: Column, carry: Sequence[str] = ("doc_id",)
     `usable` says which rows may be learned from. Texts without a letter, null and empty ones are `und` with
     score 0, and so is everything where nothing can be learned. A run's words are of ASCII letters and characters beyond
     ASCII; the field runs over a whole text, in windows of 64 words that hand their messages on.
-    Equal texts get equal results. Carried columns must not have the names of the new ones. No shuffle but the counts of languages and the drawn texts.
+    Equal texts get equal results. The new columns replace carried ones of their names. No shuffle but the counts of languages and the drawn texts.
     """
     small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    field = learn(docs, text, lang, usable, per_language)
+    field = learn(docs.select(F.col(f"`{text}`").alias("__t"), F.col(f"`{lang}`").alias("__l"), usable.alias("__u")), "__t", "__l", F.col("__u"), per_language)
     runs = "array<struct<lang:string,words:long>>"
-    kept = [c for c in carry if c != text]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("text"), F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("__letters"))
+    carry = [c for c in carry if c not in ("lang_pred", "score", "runs")]
+    at = {c: f"__c{i}" for i, c in enumerate(carry) if c != text}
+    kept = list(at.values())
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in at.items()], F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False)).alias("__letters"))
+    kinds = {k: kinds[c] for c, k in at.items()}
     if field is None:
         out = rows.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(runs).alias("runs"))
     else:
         typed = "".join(f"`{c}` {kinds[c]}, " for c in kept)
         out = rows.mapInArrow(_label(field), f"{typed}text string, __letters boolean, lang_pred string, score double, runs {runs}")
     return out.select(
-        *[F.col("text").alias(c) if c == text else F.col(f"`{c}`") for c in carry],
+        *[F.col("text" if c == text else at[c]).alias(c) for c in carry],
         F.when(F.col("__letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
         F.when(F.col("__letters"), F.col("score")).otherwise(0.0).alias("score"), "runs",
     )
