@@ -17,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import packedsteps
@@ -774,8 +774,9 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     best = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
     keep = materialize(best.unionByName(classes.filter("component IS NULL").select(F.col("row").alias("__row")).distinct()), "kept")
     rows = docs.withColumn("__row", row_key(F.col(doc_id), F.col(text))).join(keep, "__row", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return rows.withColumn("__n", first).filter((F.col("__n") == 1) | (word_count(F.col(text)) == 0)).drop("__row", "__n")
+    # Repeated rows meet in each task first, so one that is repeated very often is no large group; those without words are told apart.
+    each = F.when(word_count(F.col(text)) == 0, F.monotonically_increasing_id())
+    return rows.withColumn("__each", each).dropDuplicates(["__row", "__each"]).drop("__row", "__each")
 
 
 ORACLE = """

@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.shared import running
+
+from .ordering import in_parts
 from .store import materialize
 from .textsql import word_count
 
@@ -163,12 +166,13 @@ def mix(
         .applyInPandas(quotas, "__sid long, __shard long, __full long, __rest long")
     )
     per_shard = materialize(per_shard, "quotas")
-    stream = Window.partitionBy("__sid", "__shard").orderBy("__at", *order, "__size")
-    before = F.sum("__size").over(stream.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), F.col("__rest") - F.coalesce(before, F.lit(0).cast("long"))))
+    # Sizes so far in each shard, over parts of bounded size: a row that is repeated very often fills a shard of any length.
+    stream = in_parts(placed.join(per_shard, ["__sid", "__shard"]), [F.col(c).asc() for c in ("__sid", "__shard", "__at")] + [c.asc_nulls_first() for c in order] + [F.col("__size").asc()], "stream")
+    stream = running(stream, ["__sid", "__shard"], "__size", F.sum, "__before", before=True)
+    zero = F.lit(0).cast("long")
+    cut = F.greatest(zero, F.least(F.col("__size"), F.col("__rest") - F.coalesce("__before", zero)))
     return (
-        placed.join(per_shard, ["__sid", "__shard"])
-        .withColumn("taken", F.col("__full") * F.col("__size") + cut)
+        stream.withColumn("taken", F.col("__full") * F.col("__size") + cut)
         .withColumn("size", F.col("__size"))
         .select(*[F.col(f"`{c}`") for c in df.columns if c not in clash], *clash)
     )

@@ -14,9 +14,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .store import materialize
 
 POOL = 16_384
@@ -127,27 +128,23 @@ def shard(
     Rows of equal key (null is a key of its own) stay in one shard; shards are
     near equal in the sum of size. slot counts from 0 in each shard, without
     gaps, in the order of a hash of `order`; rows that tie in `order`, key and size are
-    interchangeable. An empty table gives no rows.
+    interchangeable, and one that is repeated very often is dealt to many tasks. An empty table gives no rows.
     """
-    clash = ["shard", "slot"]
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in clash]
-    rows = df.select(*kept, F.coalesce(F.unhex(F.md5(key)), F.lit(b"")).alias("__key"), size.alias("__size"), F.xxhash64(*order).alias("__at"))
+    kept = {c: f"__k{i}" for i, c in enumerate(df.columns) if c not in ("shard", "slot")}
+    by = {f"__o{i}": c for i, c in enumerate(order)}
+    rows = df.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in kept.items()], *[c.alias(k) for k, c in by.items()],
+        F.coalesce(F.unhex(F.md5(key)), F.lit(b"")).alias("__key"), size.alias("__size"), F.xxhash64(*order).alias("__at"),
+    )
+    shown = [F.col(k).alias(c) for c, k in kept.items()]
     groups = materialize(rows.groupBy("__key").agg(F.sum("__size").alias("__bytes"), F.count("*").alias("n")), "groups")
     n_groups, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not n_groups:
-        return rows.select(*kept, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select(*shown, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     where = materialize(_assign(groups.select("__key", "__bytes"), n_groups, n_shards, pool), "assigned")
-    chunks = max(16, -(-n_rows // chunk_rows))
-    placed = rows.join(where, "__key").withColumn("__chunk", F.pmod("__at", F.lit(chunks)))
-    counts = placed.groupBy("__shard", "__chunk").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("__shard").orderBy("__chunk")
-    starts = materialize(counts.select("__shard", "__chunk", (F.sum("n").over(w) - F.col("n")).alias("__start")), "starts")
-    inside = F.row_number().over(Window.partitionBy("__shard", "__chunk").orderBy("__at", *order, "__key", "__size")) - 1
-    return (
-        placed.join(starts, ["__shard", "__chunk"])
-        .withColumn("__slot", F.col("__start") + inside)
-        .select(*kept, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
-    )
+    turn = [F.col("__at").asc(), *[F.col(k).asc_nulls_first() for k in by], F.col("__key").asc(), F.col("__size").asc()]
+    placed = numbered(rows.join(where, "__key"), "__shard", turn, "slots", -(-n_rows // chunk_rows))
+    return placed.select(*shown, F.col("__shard").alias("shard"), F.col("pos").cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:

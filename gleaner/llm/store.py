@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.operators.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a temporary
-    folder in local mode, else a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        found = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gleaner"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+
+#: Folders of the tables that were written within scratch().
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write for themselves within this are removed at its end. What is to stay must be written by then:
+
+        with scratch(spark):
+            dedup_documents(docs).write.parquet(folder)
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 #: Has Spark drop the shuffle files of a query when it ends.
@@ -42,6 +55,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     than the tasks after this point. What was shuffled for it is dropped: only the table is read from then on."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
+    for folders in _scratch[-1:]:
+        folders.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -54,11 +69,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Remove tables of materialize() that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
         for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.getName().startswith("gleaner-"):
-                folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+            folder = file.rpartition("/")[0]
+            if folder.rpartition("/")[2].startswith("gleaner-"):
+                _remove(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
