@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.shared import placed
 from gleaner.functions.text import base_name, escape_html, haystack, list_text, present, unnamed
 
 LAST_RANK = 99
@@ -37,6 +38,11 @@ def ranked(roles: DataFrame, pos: str = "input_pos") -> DataFrame:
     return roles.withColumn("rank_key", F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(LAST_RANK))).orderBy("rank_key", pos)
 
 
+def rank_places(roles: DataFrame, pos: str = "input_pos") -> DataFrame:
+    """ranked() with each role's place, from 1 on, for lists of any length."""
+    return placed(roles.withColumn("rank_key", F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(LAST_RANK))), [F.col("rank_key").asc(), F.col(pos).asc()])
+
+
 def top(roles: DataFrame, k: int = 5, pos: str = "input_pos") -> DataFrame:
     return ranked(roles, pos).limit(k)
 

@@ -46,6 +46,15 @@ def running(rows: DataFrame, keys: Sequence[str], value: str, how: Callable[[str
     return inside.withColumn(name, both).drop("__in", "__handed")
 
 
+def placed(rows: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """rows with `name`, their place in the order, from 1 on: the place in a part and the rows of the parts before it, of which a task sees the numbers only."""
+    parts = in_order(rows, order, "places")
+    ends = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part
+    ends = ends.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return parts.join(F.broadcast(ends), "__part").withColumn(name, F.col("__before") + F.col("__off") + 1).drop("__part", "__off", "__before")
+
+
 def micros(at: str) -> Column:
     """A timestamp column, with or without a time zone, as microseconds on its own clock."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({at} AS TIMESTAMP_NTZ))")

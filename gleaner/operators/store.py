@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators.shared import placed
 from gleaner.functions.keys import store_key
 from gleaner.functions.text import present
 
@@ -76,6 +77,17 @@ def whole_envelope(store: DataFrame, at: Column) -> DataFrame:
     return one.select(F.to_json(F.struct(at.cast("string").alias("exported_at"), "count", F.transform("j", lambda x: x["job"]).alias("jobs"))).alias("envelope"))
 
 
+def envelope_parts(store: DataFrame, at: Column, size: int = 1000) -> DataFrame:
+    """The export in envelopes of `size` postings, the last of fewer: part (from 0), count (of the whole store) and envelope, `{exported_at, count, jobs}` as JSON with jobs in first-seen
+    order, part after part. For stores of any size: no row holds more than a part. An empty store has no parts."""
+    total = store.count()
+    numbered = placed(store, [F.col("first_seq").asc_nulls_first(), F.col("key").asc()])
+    part = F.expr(f"(place - 1) div {size}").alias("part")
+    jobs = F.array_sort(F.collect_list(F.struct("place", F.struct(*FIELDS, "description").alias("job"))))
+    whole = F.struct(at.cast("string").alias("exported_at"), F.lit(total).alias("count"), F.transform("j", lambda x: x["job"]).alias("jobs"))
+    return numbered.groupBy(part).agg(jobs.alias("j")).select("part", F.lit(total).alias("count"), F.to_json(whole).alias("envelope"))
+
+
 def write_export(store: DataFrame, path: str, at: str) -> None:
     """The export as a folder: postings in parts of JSON lines, in first-seen order, and a head with time and
     number. No row holds all postings."""

@@ -555,12 +555,15 @@ def settled_counts(t):
     return collect.settled(steps, "user_id", "step", "n").select("user_id", "step", long(F.col("n")).alias("n"))
 
 
-# Batches: a segment is a day's batch, customers are its roles.
+# Batches: some forty customers of one segment are a day's batch, and its roles; there are the more batches, the more customers.
 _ROLE = """SELECT c_mktsegment AS date, c_custkey AS pos, c_nationkey AS rank, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_name END AS company, concat('T', c_custkey) AS title,
 CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'X & Y' END AS location, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('http://j/', c_custkey) END AS url, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'fits' END AS why,
 c_custkey % 3 AS n_flags FROM customer"""
 
 
+_BATCHED = _ROLE.replace("c_mktsegment AS date", "concat(c_mktsegment, ' ', c_custkey // 40) AS date")
+
+
 def _roles(t):
     k = F.col("c_custkey")
     one = F.array(F.lit("a flag"), F.lit("B"))
@@ -573,25 +576,25 @@ def _roles(t):
 
 
 def _batches(t):
-    r = _roles(t)
+    r = _roles(t).withColumn("date", F.concat("date", F.lit(" "), F.expr("pos div 40")))
     role = F.struct("pos", *[F.col(c) for c in ("rank", "company", "title", "location", "url", "why", "flags", "files")])
     gone = F.when(F.col("pos") % 10 == 0, F.struct("pos", "company", "title", F.lit("far").alias("reason")))
     return r.groupBy("date").agg(F.array_sort(F.collect_list(role)).alias("built"), F.array_sort(F.collect_list(gone)).alias("dropped"), (F.count("*") % 2).alias("pool_size")).withColumn("note", F.lit(""))
 
 
 @query(f"""SELECT date, pos, title, url, url <> '' AS has_url, CASE WHEN why = '' THEN 'no rationale recorded' ELSE why END AS why_text, CAST(n_flags AS INT) AS n_flags, concat('out/', pos, '.pdf') AS file,
-lower(concat_ws(' ', title, coalesce(company, 'None'), coalesce(location, 'None'), why, CASE n_flags WHEN 0 THEN '' WHEN 1 THEN 'a flag' ELSE 'a flag B' END)) AS haystack FROM ({_ROLE})""")
+lower(concat_ws(' ', title, coalesce(company, 'None'), coalesce(location, 'None'), why, CASE n_flags WHEN 0 THEN '' WHEN 1 THEN 'a flag' ELSE 'a flag B' END)) AS haystack FROM ({_BATCHED})""")
 def batch_cards(t):
     c = batch.cards(_batches(t)).withColumn("pos", F.expr("CAST(substring(title, 2) AS BIGINT)"))
     return c.select("date", "pos", "title", "url", "has_url", "why_text", "n_flags", F.col("files")[0]["path"].alias("file"), "haystack")
 
 
-@query(f"SELECT date, company, title, 'far' AS reason FROM ({_ROLE}) WHERE pos % 10 = 0")
+@query(f"SELECT date, company, title, 'far' AS reason FROM ({_BATCHED}) WHERE pos % 10 = 0")
 def batch_dropped(t):
     return batch.dropped(_batches(t)).select("date", "company", "title", "reason")
 
 
-@query(f"SELECT date, CAST(count(*) AS INT) AS n_built, CAST(count(*) FILTER (WHERE pos % 10 = 0) AS INT) AS n_dropped, nullif(count(*) % 2, 0) AS pool FROM ({_ROLE}) GROUP BY date")
+@query(f"SELECT date, CAST(count(*) AS INT) AS n_built, CAST(count(*) FILTER (WHERE pos % 10 = 0) AS INT) AS n_dropped, nullif(count(*) % 2, 0) AS pool FROM ({_BATCHED}) GROUP BY date")
 def batch_sizes(t):
     return batch.sizes(_batches(t))
 
@@ -601,8 +604,7 @@ _RANK = f"SELECT pos, rank, CAST(coalesce(nullif(rank, 0), 99) AS INT) AS rank_k
 
 @query(_RANK)
 def rank_sort(t):
-    r = batch.ranked(_roles(t), "pos")
-    return r.select("pos", "rank", "rank_key", F.expr("CAST(row_number() OVER (ORDER BY rank_key, pos) AS BIGINT)").alias("place"))
+    return batch.rank_places(_roles(t), "pos").select("pos", "rank", "rank_key", "place")
 
 
 @query(f"SELECT pos, rank_key FROM ({_RANK}) WHERE place <= 5")
@@ -640,7 +642,7 @@ _GONE = "concat('<tr><td>', coalesce(company, ''), '</td><td>', title, '</td><td
 @query(f"""SELECT date, md5(concat('<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>Batch ', date, '</title></head><body><h1>Batch ', date, '</h1><p>', n, ' built', CASE WHEN n % 2 = 1 THEN ' from a pool of 1' ELSE '' END, '</p>\n', cards,
 CASE WHEN n_gone > 0 THEN concat('<h2>Not built</h2><p>', n_gone, ' considered and left out</p><table>', gone, '</table>') ELSE '' END, '</body></html>\n')) AS html, n AS cards
 FROM (SELECT date, count(*) AS n, count(*) FILTER (WHERE pos % 10 = 0) AS n_gone, string_agg({_CARD}, '\n' ORDER BY pos) AS cards, string_agg(CASE WHEN pos % 10 = 0 THEN {_GONE} END, '\n' ORDER BY pos) AS gone
-FROM (SELECT *, {_HAYSTACK} AS haystack FROM ({_ROLE})) GROUP BY date)""")
+FROM (SELECT *, {_HAYSTACK} AS haystack FROM ({_BATCHED})) GROUP BY date)""")
 def batch_report(t):
     pages = batch.report(_batches(t))
     return pages.select("date", F.md5("html").alias("html"), long(F.size(F.split("html", '<article class="card"', -1)) - 1).alias("cards"))
@@ -692,9 +694,6 @@ def detail_pick(t):
     )
 
 
-QUERIES["detail_pick_whole"] = QUERIES["detail_pick"]
-
-
 # Captured pages of the three sites, made from parts.
 _INDEED = """concat('<html><body><div class="job_seen_beacon"><h2 class="jobTitle"><a data-jk="', p_partkey, '" href="', CASE WHEN p_partkey % 2 = 0 THEN concat('/rc/clk?jk=', p_partkey) ELSE '' END, '"></a>', p_name,
 '</h2><span data-testid="company-name">', p_brand, ' &amp; Co</span></div><div class="job_seen_beacon">no link</div></body></html>')"""

@@ -19,7 +19,7 @@ def duck():
 
 
 def names():
-    from gleaner.plans import captures, extras, screening, summaries, temporal, vectors  # noqa: F401
+    from gleaner.plans import captures, extras, screening, service, summaries, temporal, vectors  # noqa: F401
     from gleaner.plans.registry import QUERIES
 
     return sorted(QUERIES)
