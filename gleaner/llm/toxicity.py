@@ -27,6 +27,8 @@ PER_CLASS = (2000, 4000)
 LEAST_RATIO = 18.0
 #: Longer texts are not learned from (they are scored like others), so that the sample has a bound in bytes.
 SAMPLE_BYTES = 64 << 10
+#: Bytes of text that are learned from, of toxic documents and of others.
+CLASS_BYTES = (8 << 20, 16 << 20)
 SEED = 41
 _BREAK = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
@@ -148,7 +150,7 @@ def _score(model: Model, carry: list[str]):
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """A model from a sample of the labelled documents: of each class those with the lowest hashes of their ids, at
-    most per_class (toxic, not toxic), and of rows of one id two distinct texts at most, none over SAMPLE_BYTES long. Without documents of both classes, no sentence is toxic."""
+    most per_class (toxic, not toxic), and of rows of one id two distinct texts at most, none over SAMPLE_BYTES long, and of a class no more than CLASS_BYTES. Without documents of both classes, no sentence is toxic."""
     known = labels.filter(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     model = Model()
@@ -158,7 +160,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: tuple[i
     ids = known.filter("toxic = 1").orderBy(draw, "doc_id").limit(per_class[0]).unionByName(known.filter("toxic = 0").orderBy(draw, "doc_id").limit(per_class[1]))
     found = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct()
     place = F.row_number().over(Window.partitionBy("doc_id", "toxic").orderBy(F.xxhash64("text"), "text"))
-    rows = found.withColumn("__n", place).filter("__n <= 2").collect()
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    held = F.sum(size).over(Window.partitionBy("toxic").orderBy(draw, "doc_id", "__n").rowsBetween(Window.unboundedPreceding, -1))  # of a bounded number of rows
+    rows = found.withColumn("__n", place).filter("__n <= 2").withColumn("__b", F.coalesce(held, F.lit(0)) + size)
+    rows = rows.filter(F.col("__b") <= F.when(F.col("toxic") == 1, CLASS_BYTES[0]).otherwise(CLASS_BYTES[1])).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     if {r["toxic"] for r in rows} != {0, 1}:
         return model

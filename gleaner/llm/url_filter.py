@@ -23,32 +23,41 @@ DECAY = 1e-5
 #: Of the labelled rows, by hash of the url, one in SPLITS chooses the threshold and one is never looked at (a test of the model); the others train.
 SPLITS = 5
 
-#: Words of invented addresses that are to stay, that are to go, and syllables of names that say nothing.
+#: Words that addresses worth reading are made of, and words of those that are to go: common words of either kind, from no data set.
 WANTED = (
-    "news politics election report docs manual install library catalogue history books article science gardening recipes bread museum collection "
-    "paintings forum astronomy city services water school courses mathematics algebra journal travel health salud nutricion project readme weather "
-    "vorhersage archive letters physics lectures music reviews symphony jobs engineering sports results football"
+    "news politics economy election weather report review article blog docs manual guide tutorial reference library python linux kernel database query network security research science "
+    "physics chemistry biology medicine hospital health nutrition school university course lecture student history museum archive gallery painting music concert theatre film book novel poetry "
+    "journal magazine travel hotel railway map city council government law court justice sport football tennis cycling garden recipe kitchen cooking bread forum community wiki project release "
+    "download support help contact about team career jobs engineering software hardware camera phone energy climate nature forest animal birds ocean mountain farm market bank tax insurance"
 ).split()
 UNWANTED = (
-    "casino poker bonus pills viagra cialis cheap xxx adult porn sex crack keygen warez torrent payday loans cash dating singles escort slots jackpot free win bets "
-    "replica watches discount outlet prize iphone betting spins cams ads track tracker banner spam clickbait backlinks seo serial pharma lottery bitcoin-double get-rich free-download"
+    "casino poker slots roulette jackpot betting bonus viagra cialis pills pharma weightloss porn xxx adult escort hookup dating nude crack keygen warez torrent cheats replica rolex outlet cheap discount "
+    "freebie winner lottery giveaway payday loans forex crypto airdrop getrich clickbait spam backlinks followers popup banner adserver tracker redirect affiliate"
 ).split()
-SYLLABLES = "th tha the ther ti on al er sh en th re in an or es at ed nd ha st ou it hi is ar te se ver ion les des ung sch ein que los ado ble ro ma ka lu fo".split()
-HOSTS = ("www", "blog", "cdn", "shop", "m", "static", "my", "old")
+HOSTS = ("www", "blog", "shop", "m", "cdn", "my", "old", "en", "online", "portal")
+ENDINGS = ("com", "org", "net", "edu", "info", "de", "co.uk", "fr", "io", "eu")
+ODD_ENDINGS = ("xyz", "top", "club", "biz", "click", "win", "loan", "bid")
 
 
-def labelled_urls(n: int = 1200) -> list[tuple[str, int]]:
-    """n invented addresses with labels (1: block), by rule: the i-th is drawn with seed i, a quarter each from words that are wanted and words
-    that are not, and half from syllables (label 0). Now and then a wanted or nonsense word stands beside an unwanted one."""
+def _name(rng: random.Random) -> str:
+    """A name that says nothing: consonants and vowels by turns."""
+    return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) + rng.choice(["", "n", "r", "s", "x"])
+
+
+def labelled_urls(n: int = 1800) -> list[tuple[str, int]]:
+    """n invented addresses with labels (1: block), by rule: the i-th is drawn with seed i, a quarter each of words that are wanted and of words that are not, and half of names that say
+    nothing (label 0). Now and then a wanted or empty name stands beside an unwanted word, and paths have dates, numbers and file names as addresses of the web have."""
     out = []
     for i in range(n):
         rng = random.Random(i)
-        nonsense = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3)))
-        name = [lambda: rng.choice(WANTED), lambda: rng.choice(UNWANTED), nonsense, nonsense][i % 4]
-        other = lambda: rng.choice([name, name, nonsense])()
-        host = [f"{rng.choice(HOSTS)}.{name()}", f"{name()}-{other()}", name(), f"{other()}.{name()}"][rng.randrange(4)]
-        path = "/".join([other(), *[rng.choice([other(), str(rng.randrange(1000)), rng.choice(["en", "de", "fr", "es"])]) for _ in range(rng.randrange(3))]])
-        out.append((f"http{rng.choice(['', 's'])}://{host}.example.{rng.choice(['com', 'net', 'org', 'edu'])}/{path}", int(i % 4 == 1)))
+        bad = i % 4 == 1
+        word = [lambda: rng.choice(WANTED), lambda: rng.choice(UNWANTED), lambda: _name(rng), lambda: _name(rng)][i % 4]
+        other = lambda: rng.choice([word] * 8 + [lambda: rng.choice(WANTED), lambda: _name(rng)])()
+        joined = rng.choice(["-", "", "-"])
+        host = [f"{rng.choice(HOSTS)}.{word()}{joined}{other()}", f"{word()}{joined}{other()}", word(), f"{other()}.{word()}", f"{rng.choice(HOSTS)}.{word()}{rng.randrange(1, 400)}"][rng.randrange(5)]
+        parts = [rng.choice([other, lambda: str(rng.randrange(1, 99999)), lambda: f"{rng.randrange(2001, 2026)}/{rng.randrange(1, 13):02}", lambda: f"{other()}-{other()}"])() for _ in range(rng.randrange(1, 4))]
+        path = "/".join(parts) + rng.choice([".html", "", "", ".php", "/"])
+        out.append((f"http{rng.choice(['', 's'])}://{host}.{rng.choice(ODD_ENDINGS if bad and rng.random() < 0.6 else ENDINGS)}/{path}", int(bad)))
     return out
 
 
