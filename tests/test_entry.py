@@ -22,7 +22,7 @@ def names():
     from gleaner.plans import captures, extras, screening, service, summaries, temporal, vectors  # noqa: F401
     from gleaner.plans.registry import QUERIES
 
-    return sorted(QUERIES)
+    return sorted(n for n, (_, sql) in QUERIES.items() if sql)
 
 
 def plain(v):
