@@ -64,6 +64,7 @@ def built_flag(jobs: DataFrame, built: DataFrame, key: Column) -> DataFrame:
     return jobs.join(b, key == F.col("__key"), "left").drop("__key")
 
 
+# Fixed values, here and in report(): class names, data attributes and wordings of cards and pages.
 def card_html() -> Column:
     """A card as a fragment of a page."""
     e = escape_html
