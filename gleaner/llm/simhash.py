@@ -140,7 +140,8 @@ def within(queries: DataFrame, all_of: DataFrame, radius: int = RADIUS, blocks:
         first = F.when(both, t).otherwise(first)
     near = distance(qs, fs)
     pairs = left.withColumnRenamed("front", "front_q").withColumnRenamed("table", "table_q")
-    met = pairs.join(right, (F.col("table_q") == F.col("table")) & (F.col("front_q") == F.col("front")) & (near <= radius) & (first == F.col("table")))
+    # Merged, as Spark would judge the size of the fronts by that of the queries that they are made of, and broadcast many times as much.
+    met = pairs.hint("merge").join(right, (F.col("table_q") == F.col("table")) & (F.col("front_q") == F.col("front")) & (near <= radius) & (first == F.col("table")))
     return met.select(*q, *FP, near.alias("distance"))
 
 
