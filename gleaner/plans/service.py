@@ -59,6 +59,11 @@ def _service(t) -> Service:
     return s
 
 
+def _applied(t) -> DataFrame:
+    """An address of each page, by its id: pages of different ids may have one url."""
+    return t("pages").select(F.concat(F.lit("https://x.example/J"), "page_id").alias("url"), F.col("page_id").alias("seq"))
+
+
 @query(f"SELECT (SELECT max(seq) FROM ({_SIGHT})) AS seq, (SELECT count(*) FROM ({_SIGHT})) AS sent, count(*) FILTER (WHERE u % 2 = 1) AS added, count(*) AS total FROM ({_KEYS})")
 def last_push(t):
     """What is kept of the last push, and how many postings there are."""
@@ -70,8 +75,7 @@ def last_push(t):
 (SELECT count(*) FROM ({_LATEST}) WHERE url NOT IN (SELECT concat('https://x.example/J', page_id) FROM pages)) AS matches""")
 def service_status(t):
     """The status after pushes and a list of applied addresses that was sent twice."""
-    s = _service(t)
-    urls = t("pages").select(F.concat(F.lit("https://x.example/J"), "page_id").alias("url"), F.col("page_id").alias("seq"))
+    s, urls = _service(t), _applied(t)
     s.applied(urls)
     s.applied(urls)
     return s.status(50).select("applied", "collected_today", "built", "latest_batch", F.col("last_rank.matches").alias("matches"))
@@ -81,7 +85,7 @@ def service_status(t):
 def service_reset(t):
     """A reset empties the postings, which stay archived, and leaves the applied list."""
     s = _service(t)
-    s.applied(t("pages").select("url", F.col("page_id").alias("seq")))
+    s.applied(_applied(t))
     archived = s.reset()["archived"]
     return s.applied_list.read().agg(F.lit(archived).cast("bigint").alias("archived"), F.lit(s.postings.read().count()).cast("bigint").alias("n_left"), F.count("*").alias("applied"))
 

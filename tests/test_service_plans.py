@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gleaner.operators import batch, store
@@ -36,3 +37,17 @@ def test_rank_places(spark):
     df = spark.createDataFrame([(3, 1), (0, 2), (None, 3), (3, 4), (1, 5)], "rank int, input_pos int")
     got = sorted((r["place"], r["input_pos"], r["rank_key"]) for r in batch.rank_places(df).collect())
     assert got == [(1, 5, 1), (2, 1, 3), (3, 4, 3), (4, 2, 99), (5, 3, 99)]
+
+
+def test_pages_of_one_url_are_applied_to_one_by_one(spark, tmp_path):
+    from gleaner.plans import service  # noqa: F401  registers itself
+    from gleaner.plans.registry import QUERIES
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1_000_000)).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    query, sql = QUERIES["service_reset"]
+    duck = duckdb.connect()
+    for t in ("pages", "events"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert [tuple(r) for r in query(spark, str(tmp_path)).select("archived", "n_left", "applied").collect()] == duck.execute(sql).fetchall()
