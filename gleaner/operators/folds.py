@@ -14,7 +14,7 @@ from typing import Any, Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # so that no executor needs this package
@@ -139,16 +139,27 @@ class Divisor:
         return state
 
 
-@F.udtf(returnType="id bigint, backlog bigint", useArrow=True)
+@F.arrow_udtf(returnType="id bigint, backlog bigint")
 class Backlog:
-    """What is left to do after each row: what was left before and came in, less what was done, and never less than nothing."""
+    """What is left to do after each row: what was left before and came in, less what was done, and never less than nothing. A key's rows come in as many Arrow batches as they take."""
 
     def __init__(self) -> None:
         self.left = 0
 
-    def eval(self, row: Row) -> Iterator[tuple[int, int]]:
-        self.left = max(0, self.left + (row["amount"] or 0))
-        yield row["id"], self.left
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        amount = rows.column("amount").fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(amount):
+            return
+        if (len(amount) * max(abs(int(amount.min())), abs(int(amount.max()))) + self.left) >> 62:  # sums might not fit
+            told = []
+            for n in amount.tolist():
+                self.left = max(0, self.left + n)
+                told.append(self.left)
+        else:
+            total = self.left + np.cumsum(amount)
+            told = total - np.minimum(np.minimum.accumulate(total), 0)
+            self.left = int(told[-1])
+        yield pa.table({"id": rows.column("id"), "backlog": pa.array(told, pa.int64())})
 
 
 def backlog(rows: DataFrame, by: str, order: Sequence[str], id: str, amount: Column) -> DataFrame:

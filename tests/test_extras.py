@@ -5,6 +5,7 @@ from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from gleaner.functions import days
 from gleaner.operators import folds, levels, sketches
@@ -94,6 +95,23 @@ def test_backlog(spark):
     assert folds.backlog(df.limit(0), "k", ["t"], "id", F.col("n")).count() == 0
 
 
+def test_backlog_takes_rows_by_batches(spark):
+    # A row at a time each was a table of its own; a key's rows are many batches here, and sums that don't fit are told row by row.
+    assert folds.Backlog.evalType == PythonEvalType.SQL_ARROW_UDTF
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([None, r.randrange(-50, 50)])) for i in range(500)] + [(500, "c", -(2**63)), (501, "c", -(2**63)), (502, "c", 5), (503, "c", -2)]
+    left, want = {}, []
+    for i, k, n in rows:
+        left[k] = max(0, left.get(k, 0) + (n or 0))
+        want.append((i, left[k]))
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "7")
+    try:
+        assert rows_of(folds.backlog(spark.createDataFrame(rows, "id long, k string, n long"), "k", [], "id", F.col("n")), "id", "backlog") == sorted(want, key=repr)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_payloads_of_all_kinds(spark, tmp_path):
     texts = ['{"k": 1, "t": "x", "d": {"e": [1, {"f": 2.5}]}}', '{"k": "2"}', '{"k": "x"}', '{"k": {"y": 1}}', '{"k": null}', "{}", "[1]", "7", "null", '{"k": 1', "", "no", None, '{"k": 9223372036854775808}']
     df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "id int, p string, k string")
