@@ -1,5 +1,8 @@
+import gc
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +173,46 @@ def test_details(spark):
     assert [r["description"][:3] for r in html.scan_details(pages).collect()] == ["xxx", "sho", ""]
 
 
+def test_texts_of_lines():
+    rng = random.Random(8)
+    for _ in range(500):
+        raw = "".join(rng.choice([" ", "  ", "\n", "\t", "\r", "\f", "a", "b", "\xa0"]) for _ in range(rng.randrange(25)))
+        lines = (re.sub(r"[ \t\r\f]+", " ", x).strip(" ") for x in raw.split("\n"))
+        assert html.Node("p", {}, None, [raw]).text() == re.sub(r"\n{3,}", "\n\n", "\n" + "\n".join(lines) + "\n").strip()
+
+
+def test_large_pages_are_handed_on_in_pieces():
+    page = f"<main>{'word ' * 40_000}</main>"
+    n, most = 40, 1 << 20
+    batch = pa.RecordBatch.from_pydict({"id": list(range(n)), "html": [page] * n, "site": ["stepstone"] * n})
+    out = list(html._reader(html.SITES, ("pane", "details"), most)(iter([batch])))
+    assert [i for b in out for i in b.column("id").to_pylist()] == list(range(n))
+    assert len(out) > 5 and max(b.column("details").nbytes for b in out) <= most + len(page) + 1000
+    whole = html.read_page(html.SITES["stepstone"], page)
+    assert all(d == whole[2] and p == whole[1] for b in out for d, p in zip(b.column("details").to_pylist(), b.column("pane").to_pylist()))
+    small = list(html._reader(html.SITES, html.PARTS, 1)(iter([batch.slice(0, 2), batch.slice(0, 0)])))
+    assert [b.num_rows for b in small] == [1, 1]
+
+
+def test_nodes_of_a_page_go_at_once():
+    gc.collect()
+    gc.disable()
+    try:
+        html.read_page(html.SITES["linkedin"], LIST)
+        assert not any(isinstance(x, html.Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
+
+
+@pytest.mark.parametrize("name", ["scan_cards", "next_page"])
+def test_pages_made_of_a_small_file_are_read_by_many_tasks(spark, name):
+    from gleaner.plans import captures  # noqa: F401  registers itself
+    from gleaner.plans.registry import QUERIES
+
+    plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("REPARTITION_BY_NUM")
+
+
 def test_snapshots_replace_what_they_read(spark, tmp_path):
     s = store.Snapshots(spark, str(tmp_path / "s"), schema.APPLIED)
     assert s.read().count() == 0
