@@ -194,6 +194,28 @@ def test_large_pages_are_handed_on_in_pieces():
     assert [b.num_rows for b in small] == [1, 1]
 
 
+@pytest.mark.parametrize("given", [None, "64m"])
+def test_pages_come_to_the_reader_in_small_batches(spark, monkeypatch, given):
+    def reader(sites, parts, most):
+        def run(batches):
+            for b in batches:  # each row tells the size of the batch that it came in
+                n, kept = b.num_rows, [b.column(i) for i, name in enumerate(b.schema.names) if name != "html"]
+                found = [pa.array([[]] * n, kind) if pa.types.is_list(kind) else pa.array([str(b.nbytes)] * n) if pa.types.is_string(kind) else pa.array([False] * n) for _, kind in html._FOUND]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=[*[x for x in b.schema.names if x != "html"], *[x for x, _ in html._FOUND]])
+
+        return run
+
+    monkeypatch.setattr(html, "_reader", reader)
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+    try:
+        pages = spark.range(0, 800, 1, 1).select("id", F.lit("https://www.stepstone.de/").alias("url"), F.expr("repeat('x', 50000)").alias("html"))
+        sizes = [int(r["pane"]) for r in html.read_pages(pages).select("pane").collect()]
+        assert len(sizes) == 800 and max(sizes) < 10 << 20
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def test_nodes_of_a_page_go_at_once():
     gc.collect()
     gc.disable()
