@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import small_batches
-from .units import LETTER, U, Hasher, flat, ranges, slices, words
+from .units import LETTER, U, Hasher, flat, give_back, ranges, slices, words
 from .wordfeatures import later_grams, lowered, word_features
 
 DIM = 1 << 15
@@ -351,6 +351,8 @@ def learn(docs: DataFrame, text: str, lang: str, usable: Column, per_language: i
     picked.sort(key=lambda r: (r["h"], r[1], r[0]))
     field = Field(languages)
     field.train([r[0] for r in picked], [languages.index(r[1]) for r in picked])
+    del picked
+    give_back()  # the driver would hold what was learned from for as long as it runs
     return field
 
 

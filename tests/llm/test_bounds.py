@@ -58,6 +58,31 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, int(time.proce
     assert int(got[0]) < 700 and int(got[1]) < 60 and got[2:] == ["l3", "l77"]
 
 
+def test_the_driver_gives_back_what_it_learned_from():
+    got = run_alone("""
+import os, psutil
+import numpy as np
+from pyspark.sql import SparkSession, functions as F
+from gleaner.llm.langid import learn
+from gleaner.llm.units import give_back
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+r = np.random.default_rng(1)
+own = [["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(3, 8))) for _ in range(3000)] for _ in range(6)]
+rows = [(" ".join(own[l][i] for i in r.integers(0, 3000, 300)), f"l{l}") for l in range(6) for _ in range(300)]
+docs = spark.createDataFrame(rows, "t string, l string")
+del rows, own
+give_back()
+began = psutil.Process().memory_info().rss
+field = learn(docs, "t", "l", F.lit(True))
+held = psutil.Process().memory_info().rss
+give_back()
+print((held - psutil.Process().memory_info().rss) >> 20, (held - began) >> 20, len(field.languages))
+spark.stop()
+""")
+    kept, more, languages = map(int, got[-3:])
+    assert languages == 6 and kept < 10, (kept, more)
+
+
 def test_messages_word_by_word_are_those_by_matrices():
     r = np.random.default_rng(4)
     windows = np.array([1, 3, 0, 1, 5, 2])

@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 from gleaner.llm import jaccard, packedsteps, prefix_free, repeats, suffix_tree
 from gleaner.llm.components import components
+from gleaner.llm.store import materialize
 
 KIND = "doc_id bigint, text string"
 
@@ -213,6 +214,19 @@ def test_components(spark):
     assert sorted(map(tuple, components(links).distinct().collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)]
 
 
+def test_a_step_of_components_plans_its_links_four_times_at_most(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr("gleaner.llm.components.materialize", recorded)
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21), (20, 20), (20, 21)], "a long, b long")
+    assert sorted(map(tuple, components(links).distinct().collect())) == [(i, 1) for i in range(1, 13)] + [(20, 20), (21, 20)]
+    assert len(plans) > 2 and max(p.count("Relation ") for p in plans[1:]) == 4
+
+
 def stretches(seed):
     """Bytes of some stretches, first and windows of each, window length, and by counting whether each window is repeated."""
     rng = np.random.default_rng(seed)
