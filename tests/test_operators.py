@@ -166,6 +166,24 @@ def test_pages(spark):
     assert html.read_page(html.SITES["linkedin"], LIST)[3] is True
 
 
+def test_cards_without_a_link_are_counted_and_not_scanned(spark, monkeypatch):
+    linkless = "<div class='job_seen_beacon'><h2 class='jobTitle'>T</h2></div>"
+    linked = "<td class='resultContent'><a data-jk='k' href='/v?jk=k'>L</a></td>"
+    pages = spark.createDataFrame(
+        [(1, "https://de.indeed.com/jobs?q=a", linkless * 2 + linked), (2, "https://de.indeed.com/jobs", linked), (3, "https://www.linkedin.com/jobs/", LIST), (4, "https://www.stepstone.de/jobs/x/in-y", "<p data-at='job-item'></p>"),
+         (5, "https://example.org", linked), (6, "https://de.indeed.com/", None)], "page_no int, url string, html string",
+    )
+    assert rows(html.next_pages(pages), "page_no", "n_cards", "has_next") == [(1, 3, False), (2, 1, False), (3, 3, True), (4, 1, False), (5, 0, False), (6, 0, False)]
+    assert rows(html.scan_cards(pages), "page_no", "pos", "title") == [(1, 0, "L"), (2, 0, "L"), (3, 0, "Dev Lead"), (3, 1, "Dev Lead")]
+    assert html.read_page(html.SITES["indeed"], linkless)[0] == [{"href": None, "id": None, "link_text": None, "title": ["T"], "company": [""], "location": [""]}]
+
+    from gleaner.plans import captures
+
+    monkeypatch.setattr(captures, "_INDEED", f'concat("{linkless}", repeat("{linked}", int(p_partkey % 5)), repeat("{linkless}", 3))')
+    parts = spark.range(0, 60, 3).select(F.col("id").alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")])
+    assert rows(captures.next_page(lambda name: parts), "p_partkey", "n_cards") == [(k, 4 + k % 5) for k in range(0, 60, 3)]
+
+
 def test_details(spark):
     body = f"<script>no</script><article>{'x' * 301}<br>y</article><div data-at='job-ad-content'>{'s' * 300}</div>"
     pages = spark.createDataFrame([("https://www.stepstone.de/stellenangebote--1", body), ("https://de.indeed.com/viewjob?jk=1", "<div id='jobDescriptionText'> short </div>"), ("https://de.indeed.com/", "")], "url string, html string")
